@@ -137,7 +137,8 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, halved:
                     if source in near:
                         for edge, x in _credits(near, source).items():
                             total[edge] += x
-            yield pd.DataFrame({"src": [a for a, _ in total], "dst": [b for _, b in total], "betweenness": list(total.values())})
+            if total:
+                yield pd.DataFrame({"src": [a for a, _ in total], "dst": [b for _, b in total], "betweenness": list(total.values())})
 
         kind = dict(plain.dtypes)["src"]
         parts = starts.repartition(starts.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(search, f"src {kind}, dst {kind}, betweenness double")
@@ -147,7 +148,7 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, halved:
     deep = found.select("source", F.col("id").alias("child"), (F.col("level") - 1).alias("level"), F.col("paths").alias("child_paths"))
     links = written(found.join(down, "id").join(deep, ["source", "child", "level"]).select("source", "id", "child", "level", (F.col("paths") / F.col("child_paths")).alias("share")))
     credit, parts = None, []
-    for level in range(found.agg(F.max("level")).first()[0], 0, -1):
+    for level in range(found.agg(F.max("level")).first()[0] or 0, 0, -1):
         at = links.where(F.col("level") == level - 1)
         here = at.withColumn("credit", F.lit(1.0)) if credit is None else at.join(credit.withColumnRenamed("id", "child"), ["source", "child"], "left").withColumn("credit", 1.0 + F.coalesce("sum", F.lit(0.0)))
         parts.append(written(here.select("source", "id", "child", (F.col("share") * F.col("credit")).alias("credit"))))
