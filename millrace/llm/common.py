@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,14 +33,30 @@ def blob(column: str = "text"):
     return F.col(column).cast("binary").alias(column)
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of about `most` bytes of texts and lists, or one longer row, so that what a task holds does not grow with the batch."""
+    for batch in batches:
+        size = np.full(batch.num_rows, 16, np.int64)
+        for c in batch.columns:
+            if pa.types.is_list(c.type):
+                size += 8 * pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+            elif pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(size) - size) // most
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if high > low:
+                yield batch.slice(low, high - low)
+
+
 def arrow_map(df: DataFrame, schema: str, function: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """mapInArrow for a function from a batch's columns, as lists, to the output's columns."""
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([v if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -45,12 +65,24 @@ def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]])
     """Rows of df, with all its columns, for which keep() says so of the values of one column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
+def shared(spark: SparkSession, value) -> Callable:
+    """A function that gives `value` in any task. Classes travel by value too, so executors need no copy of this package."""
+    data, made = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not made:
+            made.append(pickle.loads(data.value))
+        return made[0]
+
+    return get
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
@@ -69,11 +101,14 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the table of written()."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the tables of written(), and has Spark delete the shuffle files of finished stages, which it does when the driver collects its garbage."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def restricted(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_IDS) -> DataFrame:

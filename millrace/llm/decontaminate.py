@@ -15,6 +15,8 @@ from millrace.llm.common import arrow_filter, arrow_map, blob, plain_words
 WINDOW = 10
 #: Words of items in one automaton (some 50 MB). More items make more automata, which the same pass loads in turn.
 BLOCK_WORDS = 50_000
+#: Automata that a task keeps; it loads the others again for each batch.
+KEPT = 4
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -75,6 +77,14 @@ def matchers(benchmark: DataFrame, item_col: str, text_col: str, width: int) ->
     return out
 
 
+def in_turn(automata: list):
+    """The automata, of which no more than KEPT + 1 are in memory at once."""
+    for i, one in enumerate(automata):
+        yield one.value
+        if i >= KEPT:
+            one.__dict__.pop("_value", None)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of documents: id_col, the columns `keep`, n_words, n_hit, n_items, items_sha256, contaminated, items and spans.
 
@@ -89,8 +99,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         hits: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set] = [set() for _ in texts]
         counts = [0] * len(texts)
-        for one in automata:
-            matcher = one.value
+        for matcher in in_turn(automata):
             for i, text in enumerate(texts):
                 words = plain_words(text)
                 counts[i] = len(words)
@@ -145,8 +154,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     def keep(texts: list[str | None]) -> list[bool]:
         words = [plain_words(t.encode()) if t else [] for t in texts]
         good = [True] * len(words)
-        for one in automata:
-            matcher = one.value
+        for matcher in in_turn(automata):
             good = [g and not scan(matcher, w)[1] for g, w in zip(good, words, strict=True)]
         return good
 

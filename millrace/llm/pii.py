@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map
+from millrace.llm.common import arrow_map, shared
 from millrace.llm.pii_table import ROWS
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -318,12 +318,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def personal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """A row for each row of documents: n_email, n_ip, n_card, n_phone, base_sha256 and spans. Null is empty; empty texts have no spans; other columns are ignored."""
-    shared = documents.sparkSession.sparkContext.broadcast(field or Field())
+    given = shared(documents.sparkSession, field or Field())
     made: list[Finder] = []
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         if not made:
-            made.append(Finder(shared.value))
+            made.append(Finder(given()))
         out: dict[str, list] = {"id": batch["id"]} | {f"n_{k}": [] for k in KINDS[:4]} | {"base_sha256": [], "spans": []}
         for base, spans in made[0].find(batch["text"]):
             for k in KINDS[:4]:
@@ -338,7 +338,7 @@ def personal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def redacted(documents: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """documents, where each span of the text is replaced by its kind in angle brackets; overlapping spans become one of the first kind. Null stays null, texts without spans stay as they are; all columns are kept."""
-    shared = documents.sparkSession.sparkContext.broadcast(field or Field())
+    given = shared(documents.sparkSession, field or Field())
     made: list[Finder] = []
 
     def clean(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -353,7 +353,7 @@ def redacted(documents: DataFrame, text_col: str = "text", field: Field | None =
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         if not made:
-            made.append(Finder(shared.value))
+            made.append(Finder(given()))
         found = made[0].find(batch[text_col])
         return batch | {text_col: [clean(t, s) for t, (_, s) in zip(batch[text_col], found, strict=True)]}
 

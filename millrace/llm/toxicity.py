@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, blob, restricted, written
+from millrace.llm.common import arrow_map, blob, restricted, shared, written
 from millrace.llm.langid import held_out
 
 #: Expected numbers of labelled examples that the fit takes, of label 1 and 0.
@@ -169,11 +169,11 @@ def trained(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def scored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score, predicted and evidence (up to three nearest examples and cosines) for every row. Null and empty texts score as texts without telling words."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    given = shared(documents.sparkSession, model)
     made: list[Terms] = []  # one for each task
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        one = shared.value
+        one = given()
         if not made:
             made.append(Terms(one.numbers))
         rows = [one.score(t, made[0]) for t in batch["text"]]
