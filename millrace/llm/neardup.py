@@ -5,8 +5,8 @@ goes to the coordinate of the round. A coordinate keeps the least value of the f
 and the number of equal coordinates is as concentrated as for t independent MinHashes (Dahlgaard, Knudsen and Thorup, 2017).
 
 A link of similarity s is missed only if all bands differ: (1 - s**rows)**bands, kept below `miss` at the threshold.
-Equal sets are joined first by a 128-bit fingerprint. In each bucket all members are compared with the least one; then members that are still in
-different components are compared with each other. So copies never become all pairs, and no compared bucket loses a link.
+Equal sets are joined first by a 128-bit fingerprint. In each bucket all members are compared with the least one; members that are then still in
+different components are compared through an exact join of their rarest shingles. So copies never become all pairs, and no bucket loses a link.
 """
 
 from __future__ import annotations
@@ -140,6 +140,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def sharing_rare(docs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of documents (id, component, set) of different components that can have percent similarity: no such pair is left out.
+
+    Elements are ordered by rising frequency. A pair that is similar enough shares one of the first n - ceil(percent n) + 1 of each set of n, and its
+    first shared one leaves both enough elements behind it. Elements whose documents cannot meet this, even with the shortest of them, or that lie in
+    one component only, are dropped before they are joined, so a large group of near copies that differ a little too much makes no pairs.
+    """
+    rows = docs.select("id", "component", F.size("set").alias("n"), F.explode("set").alias("s"))
+    common = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
+    each = rows.join(common, "s").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s", (F.col("low") < F.col("high")).alias("across")))).alias("order"))
+    place = F.col("n") - F.size("order") + F.col("i")
+    first = each.select("id", "component", "n", "order", F.posexplode("order").alias("i", "e")).where(place <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).where("e.across")
+    first = written(first.select("id", "component", "n", F.col("e.s").alias("s"), (F.col("n") - place).alias("rest")))
+    least = first.groupBy("s").agg(F.min("n").alias("least"))
+    able = written(first.join(least, "s").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))).select("id", "component", "n", "s", "rest"))
+    across = able.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("s")
+    able = written(able.join(across, "s"))
+    x, y = able.alias("x"), able.alias("y")
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & ((100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of documents; other columns are ignored.
 
@@ -152,7 +174,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     first = written(told.groupBy("print").agg(F.min("id").alias("rep")))
     # Each distinct set once; an id that has several texts may stand for several sets.
     heads = told.join(first, "print").where("id = rep").dropDuplicates(["print"]).select(F.col("id").alias("rep"), "n", "bands")
-    banded = heads.select("rep", "n", F.explode("bands").alias("band"))
+    banded = heads.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot")
     members = written(banded.join(shared, "band"))
     stars = written(members.where("pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
@@ -160,14 +182,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sets = written(with_sets(restricted(documents, ids, id_col), width, id_col, text_col).dropDuplicates())
     links = written(verified(stars, sets, percent).distinct())
     once = written(components(links))
-    # Members of a bucket that are still apart: compare them with each other.
-    placed = members.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    placed = written(placed)
+    # Members of a bucket that are still apart: an exact join of their rarest shingles finds all links between them.
+    placed = written(members.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
     apart = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    mixed = placed.join(apart, "band")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    more = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = written(placed.join(apart, "band").select(F.col("rep").alias("id"), "component").distinct())
+    more = sharing_rare(mixed.join(sets, "id"), percent).join(stars, ["a", "b"], "left_anti")
     more = written(verified(written(more), sets, percent))
     if more.limit(1).count():
         at = once.select(F.col("id").alias("k"), "component")
@@ -176,8 +195,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         joined = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("root"))
         every = once.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))).distinct()
         once = written(every.join(joined, "component", "left").groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component")))
-    for table in (members, stars, ids, sets, links, placed):
-        dropped(table)
+    dropped(members, stars, ids, sets, links, placed)
     # The representative's component, by set; then rows with one id take the least of theirs.
     roots = first.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("root"))
     out = base.select("id", "n", "print").join(roots, "print", "left").select("id", "n", F.coalesce("root", "id").alias("component"))
@@ -188,6 +206,20 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b FROM reach JOIN near ON a = other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """documents without those that near_duplicates() does not keep, and with one row of each kept id that is repeated. Rows without words, and rows of a null id, all stay."""
     found = written(near_duplicates(documents, id_col, text_col, width, percent).where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(id_col, "kept"))
