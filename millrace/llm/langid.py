@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +15,10 @@ BINS, CENTROIDS = 1 << 13, 4
 #: Expected number of texts per language that the fit takes.
 SAMPLE = 400
 MOST_LANGUAGES = 1000
-#: A text is rejected if its best cosine is below this part of the least one of clean pieces of its length.
-SLACK = 0.7
+#: A text is rejected if its best cosine is below this part of the least one of the sample's texts, and pieces of them, of its length.
+SLACK = 0.5
+#: No text of a larger cosine is rejected, however much nearer the sample's texts of its length are.
+NEAR = 0.2
 
 _LETTER: list[np.ndarray] = []
 
@@ -23,7 +28,11 @@ def letters(text: str) -> np.ndarray:
     if not _LETTER:
         _LETTER.append(np.array([chr(i).isalpha() for i in range(1 << 16)]))
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    c = np.where((c >= 1 << 16) | _LETTER[0][np.minimum(c, 65535)], c, 32).astype(np.uint32)
+    letter = _LETTER[0][np.minimum(c, 65535)]
+    if (high := c >= 1 << 16).any():
+        codes, which = np.unique(c[high], return_inverse=True)
+        letter[high] = np.array([chr(x).isalpha() for x in codes.tolist()])[which]
+    c = np.where(letter, c, 32).astype(np.uint32)
     c = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]])
     return c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
 
@@ -32,20 +41,21 @@ def grams(text: str | None) -> np.ndarray:
     """Hashed bins of all 1-, 2- and 3-grams; none for a text without letters."""
     c = letters(text or "").astype(np.uint64)
     if len(c) < 3:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint16)
     k = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     one, two = c[1:-1] * k[0], c[:-1] * k[1] + c[1:] * k[2]
     three = c[:-2] * k[2] + c[1:-1] * k[0] + c[2:] * k[1]
     h = np.concatenate([one, two ^ np.uint64(1 << 40), three ^ np.uint64(1 << 41)])
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - 13)).astype(np.int64)
+    return (h >> np.uint64(64 - 13)).astype(np.uint16)
 
 
-def vectors(bins: list[np.ndarray], idf: np.ndarray | None = None) -> np.ndarray:
+def vectors(bins: Sequence[np.ndarray], idf: np.ndarray | None = None) -> np.ndarray:
     """Rows: 1 + log of counts, times idf, of length 1; a row without n-grams is 0."""
-    where = np.concatenate([b + i * BINS for i, b in enumerate(bins)]) if bins else np.zeros(0, np.int64)
-    x = np.bincount(where, minlength=len(bins) * BINS).reshape(len(bins), BINS).astype(np.float32)
+    x = np.zeros((len(bins), BINS), np.float32)
+    for i, b in enumerate(bins):
+        x[i] = np.bincount(b, minlength=BINS)
     np.log1p(x, out=x)
     if idf is not None:
         x *= idf
@@ -89,21 +99,26 @@ def fit(rows: list[tuple[str, str]]) -> dict:
         sums.append(c)
         owner += [j] * len(c)
     model = {"names": names, "owner": np.array(owner), "centroids": np.concatenate(sums), "idf": idf}
-    # Pieces of 1, 2, 4, ... words show how low the cosine of a clean short text may be.
-    least = np.full(32, 1.0)
-    pieces = []
-    for text, _ in sorted(rows)[:: max(1, len(rows) // 400)]:
-        words = text.split()
-        for e in range(9):
-            for s in range(0, max(1, len(words) - 2**e + 1), max(1, len(words) // 6)):
-                pieces.append(grams(" ".join(words[s : s + 2**e])))
-    for low in range(0, len(pieces), 256):
-        part = [p for p in pieces[low : low + 256] if len(p)]
-        if part:
-            cos = (vectors(part, idf) @ model["centroids"].T).max(1)
-            np.minimum.at(least, [len(p).bit_length() for p in part], cos)
-    least = np.where(least == 1.0, 0, least)
-    model["least"] = np.minimum.accumulate(least[::-1])[::-1] * SLACK if (least > 0).any() else least
+    # The texts themselves and pieces of 1, 2, 4, ... words show how low the cosine of a clean text of each length may be.
+    least = np.full(32, np.inf)
+
+    def pieces():
+        yield from bins
+        for text, _ in sorted(rows)[:: max(1, len(rows) // 400)]:
+            words = text.split()
+            for e in range(9):
+                for s in range(0, max(1, len(words) - 2**e + 1), max(1, len(words) // 6)):
+                    yield grams(" ".join(words[s : s + 2**e]))
+
+    for part in itertools.batched(filter(len, pieces()), 256):
+        cos = (vectors(part, idf) @ model["centroids"].T).max(1)
+        np.minimum.at(least, [len(p).bit_length() for p in part], cos)
+    # A longer text may be no farther than a shorter one may; texts shorter than all that were seen are never rejected.
+    seen = np.flatnonzero(np.isfinite(least))
+    least[seen[-1] + 1 :] = least[seen[-1]]
+    least = np.minimum(np.minimum.accumulate(least[::-1])[::-1] * SLACK, NEAR)
+    least[: seen[0]] = 0
+    model["least"] = least
     best = per_language(vectors(bins[:: max(1, len(bins) // 500)], idf), model)
     truth = y[:: max(1, len(bins) // 500)]
     model["scale"] = min((5.0, 10.0, 20.0, 40.0, 80.0), key=lambda s: -np.log(np.maximum(softmax(best * s)[np.arange(len(truth)), truth], 1e-9)).mean())
