@@ -8,6 +8,7 @@ from millrace.operators import graph
 from millrace.plans import views as V
 from millrace.plans.registry import query
 from millrace.sources import sinks
+from millrace.sources.scratch import written
 
 LEAST, TIGHT, ROUNDS, DEEPEST = 7, 8, 5, 60
 EDGES = f"""edges AS (
@@ -34,7 +35,8 @@ betweenness AS (
 
 
 def edges(spark, d, least=LEAST):
-    return graph.cooccurrence_edges(V.reviews(spark, d), "user_id", "business_id", least)
+    """The edges as a table of their own: most graph operators read them several times."""
+    return written(graph.cooccurrence_edges(written(V.visits(spark, d)), "user_id", "business_id", least))
 
 
 @query(f"{BASE} SELECT src, dst, n FROM edges")

@@ -9,6 +9,7 @@ from millrace.operators import recommend, similarity
 from millrace.operators.pairs import shared_keys
 from millrace.plans import views as V
 from millrace.plans.registry import query
+from millrace.sources.scratch import written
 
 CORATED, NEAREST, JACCARD = 3, 3, 0.08
 HASHES, UNIVERSE = 20, 1 << 20
@@ -35,27 +36,32 @@ BLENDED = """blend AS (
 _BASE = V.with_(V.REVIEWS, V.TRAINING, V.TRUTH)
 
 
-def _model(spark, d):
-    model = recommend.pearson(V.training(spark, d), CORATED)
-    return model.withColumn("sim", F.round("sim", 6))
+def _train(spark, d):
+    """The training ratings as a table of their own: models and predictions read them several times."""
+    return written(V.training(spark, d))
 
 
-def _first(spark, d):
-    return recommend.predicted(V.truth(spark, d), V.training(spark, d), _model(spark, d), NEAREST)
+def _model(train):
+    return recommend.pearson(train, CORATED).withColumn("sim", F.round("sim", 6))
 
 
-def _second(spark, d):
-    means = V.training(spark, d).groupBy("business_id").agg(F.avg("stars").alias("stars"))
+def _first(spark, d, train):
+    return recommend.predicted(V.truth(spark, d), train, _model(train), NEAREST)
+
+
+def _second(spark, d, train):
+    means = train.groupBy("business_id").agg(F.avg("stars").alias("stars"))
     return V.truth(spark, d).select("user_id", "business_id").join(means, "business_id")
 
 
 def _blend(spark, d):
-    return recommend.blended(_first(spark, d), _second(spark, d), V.users(spark, d))
+    train = _train(spark, d)
+    return recommend.blended(_first(spark, d, train), _second(spark, d, train), V.users(spark, d))
 
 
 @query(f"{_BASE} SELECT x.business_id AS a, y.business_id AS b, count(*) AS n FROM training x JOIN training y ON x.user_id = y.user_id AND x.business_id < y.business_id GROUP BY 1, 2 HAVING count(*) >= {CORATED}")
 def op_corated_pairs(spark, d):
-    return recommend.corated_pairs(V.training(spark, d), CORATED)
+    return recommend.corated_pairs(_train(spark, d), CORATED)
 
 
 @query(
@@ -63,47 +69,49 @@ def op_corated_pairs(spark, d):
 FROM training x JOIN training y ON x.user_id = y.user_id AND x.business_id < y.business_id GROUP BY 1, 2 HAVING count(*) >= {CORATED}"""
 )
 def op_dict_intersection(spark, d):
-    return shared_keys(V.training(spark, d), "business_id", "user_id", CORATED, "stars").select("a", "b", "n", "sx", "sy", "sxy")
+    return shared_keys(_train(spark, d), "business_id", "user_id", CORATED, "stars").select("a", "b", "n", "sx", "sy", "sxy")
 
 
 @query(f"{_BASE}, {PEARSON} SELECT b1, b2, round(sim, 6) + 0.0 AS sim FROM model")
 def op_pearson_sim(spark, d):
-    return _model(spark, d).withColumn("sim", F.col("sim") + 0.0)
+    return _model(_train(spark, d)).withColumn("sim", F.col("sim") + 0.0)
 
 
 @query(f"{_BASE}, {PEARSON} SELECT b1, b2, round(sim, 6) AS sim FROM model WHERE sim >= 0.5")
 def op_similarity_filter(spark, d):
-    return recommend.pearson(V.training(spark, d), CORATED).where("sim >= 0.5").withColumn("sim", F.round("sim", 6))
+    return recommend.pearson(_train(spark, d), CORATED).where("sim >= 0.5").withColumn("sim", F.round("sim", 6))
 
 
 @query(f"{_BASE}, {PEARSON}, {PREDICTED} SELECT item, other, sim + 0.0 AS sim FROM near")
 def op_symmetrize(spark, d):
-    return recommend.neighbours(_model(spark, d)).withColumn("sim", F.col("sim") + 0.0)
+    return recommend.neighbours(_model(_train(spark, d))).withColumn("sim", F.col("sim") + 0.0)
 
 
 @query(f"{_BASE}, {PEARSON}, {PREDICTED} SELECT user_id, business_id, sim + 0.0 AS sim, stars, rank FROM rated WHERE rank <= {NEAREST}")
 def op_topn_neighbours(spark, d):
     from pyspark.sql import Window as W
 
-    near = recommend.neighbours(_model(spark, d))
-    rated = V.truth(spark, d).select("user_id", F.col("business_id").alias("item")).join(near, "item").join(V.training(spark, d).withColumnRenamed("business_id", "other"), ["user_id", "other"])
+    train = _train(spark, d)
+    near = recommend.neighbours(_model(train))
+    rated = V.truth(spark, d).select("user_id", F.col("business_id").alias("item")).join(near, "item").join(train.withColumnRenamed("business_id", "other"), ["user_id", "other"])
     rank = F.row_number().over(W.partitionBy("user_id", "item").orderBy(F.desc("sim"), "other")).cast("bigint")
     return rated.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("user_id", F.col("item").alias("business_id"), (F.col("sim") + 0.0).alias("sim"), "stars", "rank")
 
 
 @query(f"{_BASE}, {PEARSON}, {PREDICTED} SELECT user_id, business_id, round(stars, 6) AS stars FROM p1")
 def op_predict_topn(spark, d):
-    return _first(spark, d).withColumn("stars", F.round("stars", 6))
+    return _first(spark, d, _train(spark, d)).withColumn("stars", F.round("stars", 6))
 
 
 @query()
 def op_als(spark, d):
-    return recommend.als_predicted(V.truth(spark, d), V.training(spark, d))
+    return recommend.als_predicted(V.truth(spark, d), _train(spark, d))
 
 
 @query()
 def op_als_blend(spark, d):
-    return recommend.blended(recommend.als_predicted(V.truth(spark, d), V.training(spark, d)), _first(spark, d), V.users(spark, d))
+    train = _train(spark, d)
+    return recommend.blended(recommend.als_predicted(V.truth(spark, d), train), _first(spark, d, train), V.users(spark, d))
 
 
 @query(f"{_BASE}, {V.USERS}, {PEARSON}, {PREDICTED}, {SECOND}, {BLENDED} SELECT user_id, business_id, round(stars, 6) AS stars FROM blend")
@@ -113,7 +121,7 @@ def op_blend(spark, d):
 
 @query(f"{_BASE}, {PEARSON}, {PREDICTED} SELECT p1.user_id, p1.business_id, round(p1.stars, 6) AS p, t.stars AS t FROM p1 JOIN truth t USING (user_id, business_id)")
 def op_prediction_align(spark, d):
-    return recommend.aligned(_first(spark, d), V.truth(spark, d)).select("user_id", "business_id", F.round("p", 6).alias("p"), "t")
+    return recommend.aligned(_first(spark, d, _train(spark, d)), V.truth(spark, d)).select("user_id", "business_id", F.round("p", 6).alias("p"), "t")
 
 
 _ERRORS = "SELECT count(*) AS n, round(sqrt(avg(power(p1.stars - t.stars, 2))), 6) AS rmse, count(*) FILTER (t.stars IN (1, 2, 5)) AS n_only, round(sqrt(avg(power(p1.stars - t.stars, 2)) FILTER (t.stars IN (1, 2, 5))), 6) AS rmse_only"
@@ -121,7 +129,7 @@ _ERRORS = "SELECT count(*) AS n, round(sqrt(avg(power(p1.stars - t.stars, 2))),
 
 @query(f"{_BASE}, {PEARSON}, {PREDICTED} {_ERRORS} FROM p1 JOIN truth t USING (user_id, business_id)")
 def op_rmse(spark, d):
-    out = recommend.errors(_first(spark, d), V.truth(spark, d))
+    out = recommend.errors(_first(spark, d, _train(spark, d)), V.truth(spark, d))
     return out.select("n", F.round("rmse", 6).alias("rmse"), "n_only", F.round("rmse_only", 6).alias("rmse_only"))
 
 
@@ -140,7 +148,7 @@ _SHARED = "shared AS (SELECT x.business_id AS a, y.business_id AS b, count(*) AS
 FROM shared JOIN sizes sa ON sa.business_id = a JOIN sizes sb ON sb.business_id = b WHERE n / (sa.size + sb.size - n) >= {JACCARD}"""
 )
 def op_jaccard_pairs(spark, d):
-    return similarity.jaccard_pairs(V.visits(spark, d), "business_id", "user_id", JACCARD).withColumn("sim", F.round("sim", 6))
+    return similarity.jaccard_pairs(written(V.visits(spark, d)), "business_id", "user_id", JACCARD).withColumn("sim", F.round("sim", 6))
 
 
 @query(
@@ -148,7 +156,7 @@ def op_jaccard_pairs(spark, d):
 FROM shared JOIN sizes sa ON sa.business_id = a JOIN sizes sb ON sb.business_id = b WHERE n / greatest(sa.size, sb.size) >= 0.15"""
 )
 def op_overlap_draft(spark, d):
-    return similarity.overlap_pairs(V.visits(spark, d), "business_id", "user_id", 0.15).withColumn("sim", F.round("sim", 6))
+    return similarity.overlap_pairs(written(V.visits(spark, d)), "business_id", "user_id", 0.15).withColumn("sim", F.round("sim", 6))
 
 
 _NUMBERS = "family AS (SELECT unnest([" + ", ".join(map(str, primes(HASHES))) + f"]) AS p, unnest(range({HASHES})) AS i)"
@@ -179,4 +187,4 @@ def op_lsh_bucket_join(spark, d):
 
 @query()
 def op_lsh_jaccard_pairs(spark, d):
-    return similarity.lsh_jaccard_pairs(V.visits(spark, d), "business_id", "user_id", JACCARD, 50, 4, seed=1)
+    return similarity.lsh_jaccard_pairs(written(V.visits(spark, d)), "business_id", "user_id", JACCARD, 50, 4, seed=1)

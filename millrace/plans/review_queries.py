@@ -198,7 +198,10 @@ def op_pairs(spark, d):
     return shared_keys(V.visits(spark, d), "user_id", "business_id", 4)
 
 
-@query(f"{V.with_(V.REVIEWS, V.VISITS)} SELECT x.business_id, x.user_id AS a, y.user_id AS b FROM visits x JOIN visits y ON x.business_id = y.business_id AND x.user_id < y.user_id WHERE x.business_id IN (SELECT business_id FROM businesses0)".replace("businesses0", "(SELECT CAST(p_partkey AS VARCHAR) AS business_id FROM part WHERE p_size = 1)"))
+@query(
+    f"""{V.with_(V.REVIEWS, V.VISITS, V.BUSINESSES)} SELECT x.business_id, x.user_id AS a, y.user_id AS b FROM visits x JOIN visits y ON x.business_id = y.business_id AND x.user_id < y.user_id
+WHERE x.business_id IN (SELECT business_id FROM businesses WHERE categories IS NULL)"""
+)
 def op_self_join_pairs(spark, d):
     small = V.businesses(spark, d).where("categories IS NULL").select("business_id")
     rows = V.visits(spark, d).join(small, "business_id", "left_semi")
