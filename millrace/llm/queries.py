@@ -6,4 +6,4 @@ QUERIES = {
     f.__name__: f
     for f in (media.op1_media, decontaminate.op2_decontamination, toxicity.op3_toxicity, langid.op4_language, neardup.op5_minhash, packing.op6_packing, licenses.op7_licenses, pii.op8_pii, substring.op9_recompression, html.op10_html)
 }
-ORACLE = {"op2_decontamination": decontaminate.ORACLE}
+ORACLE = {"op2_decontamination": decontaminate.ORACLE, "op5_minhash": neardup.ORACLE, "op9_recompression": substring.ORACLE}

@@ -4,7 +4,9 @@ Each round names maximal runs of one symbol, then pairs of a symbol of the left
 symbol. A name is a 64-bit hash of what it stands for, so all tasks of a Spark job name alike without a shared dictionary. Every symbol carries its
 context: the words on which its forming depended. A window whose words contain a symbol's context therefore has that symbol wherever it occurs.
 The anchor of a window is its least symbol of the highest level that has one; words themselves are level 0, so every window has an anchor and equal
-windows have equal anchors. Spark keeps anchors that occur in two documents; only windows with such an anchor are compared, by 128-bit hashes.
+windows have equal anchors, at equal places. Spark keeps anchors that occur in two documents. Up to STEP windows that lie alike to one anchor are a
+run; the words that all windows of such a place have are its core, and only runs whose core occurs in two documents stay. Of those, runs of equal
+words are settled as a whole, and only of the first document that has them are the windows compared one by one.
 """
 
 from __future__ import annotations
@@ -12,12 +14,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, blob, chunks, excluded, mix64, powers, restricted, word_hashes, written
+from millrace.llm.common import arrow_map, blob, chunks, dropped, excluded, mix64, powers, restricted, word_hashes, written
 
 LEVELS = 6
+#: Windows of a run.
+STEP = 8
 
 
 def _near(values: np.ndarray, inside: np.ndarray, edge: np.ndarray, step: int) -> np.ndarray:
@@ -61,15 +67,15 @@ def parse(words: np.ndarray, at: np.ndarray, levels: int = LEVELS) -> list[tuple
     return out
 
 
-def anchors(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor of every window of `width` words, the window's document, and its first word (counted over all documents)."""
+def anchors(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor of every window of `width` words, the window's document, its first word and that of the anchor's first occurrence in it (counted over all documents)."""
     n, sizes = len(words), np.diff(at)
     windows = np.maximum(sizes - width + 1, 0)
     valid = np.zeros(n + 1, bool)
     first = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(at[:-1], windows)
     valid[first] = True
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    best = np.full(n, none)
+    best, place = np.full(n, none), np.zeros(n, np.int64)
     for symbols, left, right in reversed(parse(words, at)):
         todo = np.concatenate([[0], np.cumsum(valid[:n] & (best == none))])
         if not todo[-1]:
@@ -79,22 +85,32 @@ def anchors(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
         fits = fits[todo[high[fits] + 1] > todo[low[fits]]]
         low, count = low[fits], (high - low)[fits] + 1
         starts = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        hashed = np.repeat(mix64(symbols[fits] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(1), count)
         wanted = valid[starts] & (best[starts] == none)
-        level = np.full(n, none)
-        np.minimum.at(level, starts[wanted], hashed[wanted])
-        best = np.minimum(best, level)
-    return best[first], np.repeat(np.arange(len(sizes)), windows), first
+        starts = starts[wanted]
+        hashed = np.repeat(mix64(symbols[fits] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(1), count)[wanted]
+        np.minimum.at(best, starts, hashed)
+        least = np.flatnonzero(best[starts] == hashed)[::-1]  # the first occurrence is assigned last
+        place[starts[least]] = np.repeat(left[fits], count)[wanted][least]
+    return best[first], np.repeat(np.arange(len(sizes)), windows), first, place[first]
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows that start at `first`."""
+def range_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the words from first to before end."""
     up, down = powers(len(words) + 1)
-    out = []
-    for seed in (0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words ^ np.uint64(seed)) * up[:-1])])
-        out.append(mix64((total[first + width] - total[first]) * down[first]).view(np.int64))
-    return out[0], out[1]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words ^ np.uint64(seed)) * up[:-1])])
+    return mix64((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64)).view(np.int64)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns differs from the place before; the first place too."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
+def text_number(words: list[bytes]) -> int:
+    """Tells the texts of one id apart."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
 def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
@@ -103,91 +119,128 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Null, empty and short texts lose nothing. A null id is never compared. Repeated rows of one id are no smaller than each other, so they lose only
     what other ids have. An empty table gives an empty result; other columns are ignored.
     """
-    kind = dict(documents.dtypes)[id_col]
+    kind, step = dict(documents.dtypes)[id_col], min(STEP, width)
     source = documents.select(F.col(id_col).alias("id"), blob(text_col).alias("text"))
 
     def count(batch: dict[str, list]) -> dict[str, list]:
-        words = [(x or b"").split() for x in batch["text"]]
-        return {"id": batch["id"], "n": [len(w) for w in words], "sha": [hashlib.sha256(b" ".join(w)).digest() for w in words]}
+        out: dict[str, list] = {"id": batch["id"], "n": [], "sha": [], "copy": []}
+        for text in batch["text"]:
+            words = (text or b"").split()
+            out["n"].append(len(words))
+            out["sha"].append(hashlib.sha256(b" ".join(words)).digest())
+            out["copy"].append(text_number(words))
+        return out
 
-    base = written(arrow_map(source, f"id {kind}, n bigint, sha binary", count))
+    base = written(arrow_map(source, f"id {kind}, n bigint, sha binary, copy bigint", count))
     long_ = base.where((F.col("n") >= width) & F.col("id").isNotNull())
-    heads = written(long_.groupBy("sha").agg(F.min("id").alias("head")))
+    first = written(long_.groupBy("sha").agg(F.min("id").alias("head")))
     # An exact copy of an earlier document loses all its words and need not be looked at again.
-    marked = base.join(heads, "sha", "left").select("id", "sha", F.coalesce(F.col("id") > F.col("head"), F.lit(False)).alias("copy"))
-    copies = written(marked.where("id IS NOT NULL").groupBy("id").agg(F.min("copy").alias("copy")).where("copy").select("id"))
+    marked = base.where("id IS NOT NULL").join(first, "sha", "left").select("id", F.coalesce(F.col("id") > F.col("head"), F.lit(False)).alias("again"))
+    copies = written(marked.groupBy("id").agg(F.min("again").alias("again")).where("again").select("id"))
     rest = excluded(source.where("id IS NOT NULL"), copies, "id")
 
     def find(batch: dict[str, list]) -> dict[str, list]:
-        ids, found = [], []
+        whose, found = [], []
         texts = [x or b"" for x in batch["text"]]
         for low, high in chunks(texts):
             words, at = word_hashes(texts[low:high])
-            anchor, doc, _ = anchors(words, at, width)
+            anchor, doc, _, _ = anchors(words, at, width)
             order = np.lexsort((anchor, doc))
-            anchor, doc = anchor[order], doc[order]
-            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
-            ids += [batch["id"][low + d] for d in doc[new].tolist()]
-            found += anchor[new].view(np.int64).tolist()
-        return {"id": ids, "anchor": found}
+            new = order[changes(anchor[order], doc[order])]
+            whose.append(doc[new] + low)
+            found.append(anchor[new].view(np.int64))
+        return {"id": pa.array(batch["id"]).take(pa.array(np.concatenate(whose))) if whose else [], "anchor": pa.array(np.concatenate(found)) if whose else []}
 
     heard = written(arrow_map(rest, f"id {kind}, anchor bigint", find))
     several = heard.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     # A document's own anchors, no more than its words.
     shared = written(heard.join(several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
+    dropped(heard)
     near = restricted(rest, written(shared.select("id")), "id").join(shared, "id")
 
     def compare(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "sha": [], "at": [], "one": [], "two": []}
+        out: dict[str, list] = {"id": [], "copy": [], "core": [], "run": [], "at": [], "hashes": []}
         texts = [x or b"" for x in batch["text"]]
         for low, high in chunks(texts):
             words, at = word_hashes(texts[low:high])
-            anchor, doc, first = anchors(words, at, width)
-            wanted = np.zeros(len(anchor), bool)
-            bounds = np.searchsorted(doc, np.arange(high - low + 1))
-            for d in range(high - low):
-                a, b = bounds[d], bounds[d + 1]
-                if b > a:
-                    wanted[a:b] = np.isin(anchor[a:b].view(np.int64), np.array(batch["anchors"][low + d], np.int64))
-            doc, first = doc[wanted], first[wanted]
-            one, two = window_hashes(words, first, width)
-            sha = {d: hashlib.sha256(b" ".join(texts[low + d].split())).digest() for d in set(doc.tolist())}
-            out["id"] += [batch["id"][low + d] for d in doc.tolist()]
-            out["sha"] += [sha[d] for d in doc.tolist()]
-            out["at"] += (first - at[doc]).tolist()
-            out["one"] += one.tolist()
-            out["two"] += two.tolist()
-        return out
-
-    windows = written(arrow_map(near, f"id {kind}, sha binary, at bigint, one bigint, two bigint", compare))
-    least = windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("one", "two", "least")
-    covered = windows.join(least, ["one", "two"]).where("least < id").groupBy("id", "sha").agg(F.collect_set("at").alias("starts"))
-    covered = written(covered)
+            anchor, doc, first, place = anchors(words, at, width)
+            line = (place - first) // step
+            begin = changes(doc, anchor, place, line)
+            end = np.append(begin[1:], len(anchor))
+            bounds = np.searchsorted(doc[begin], np.arange(high - low + 1))
+            held = [np.isin(anchor[begin[a:b]].view(np.int64), np.array(batch["anchors"][low + d], np.int64)) for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            held = np.concatenate(held)
+            begin, end = begin[held], end[held]
+            if not len(begin):
+                continue
+            which, core = doc[begin], place[begin] - step * line[begin]
+            copies = {d: text_number(texts[low + d].split()) for d in set(which.tolist())}
+            size = end - begin
+            inside = first[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            out["id"] += [batch["id"][low + d] for d in which.tolist()]
+            out["copy"] += [copies[d] for d in which.tolist()]
+            out["core"].append(mix64(range_hashes(words, core, core + width - step + 1, 0xA24BAED4963EE407).view(np.uint64) + anchor[begin] * np.uint64(64) + line[begin].astype(np.uint64)).view(np.int64))
+            out["run"].append(range_hashes(words, first[begin], first[end - 1] + width, 0xE7037ED1A0B428DB))
+            out["at"].append(first[begin] - at[which])
+            out["hashes"].append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(range_hashes(words, inside, inside + width, 0x8CB92BA72F3D8DD7))))
+        if not out["core"]:
+            return dict.fromkeys(out, [])
+        return out | {k: pa.array(np.concatenate(out[k])) for k in ("core", "run", "at")} | {"hashes": pa.concat_arrays(out["hashes"])}
+
+    found = written(arrow_map(near, f"id {kind}, copy bigint, core bigint, run bigint, at bigint, hashes array<bigint>", compare))
+    dropped(shared)
+    across = found.groupBy("core").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("core")
+    alike = written(found.join(across, "core"))
+    dropped(found)
+    # Of equal runs, all but those of the smallest id go as a whole; what matches a window of one of them matches the smallest one's.
+    heads = written(alike.groupBy("core", "run").agg(F.min("id").alias("head")))
+    settled = alike.select("id", "copy", "core", "run", "at", F.size("hashes").alias("n")).join(heads, ["core", "run"]).where("head < id").select("id", "copy", "at", "n")
+    several = heads.groupBy("core").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("core")
+    firsts = heads.join(several, "core").select("core", "run", F.col("head").alias("id"))
+    windows = alike.join(firsts, ["core", "run", "id"]).select("id", "copy", "core", "at", F.posexplode("hashes").alias("place", "hash"))
+    windows = written(windows.select("id", "copy", "core", "hash", (F.col("at") + F.col("place")).alias("at")))
+    least = windows.groupBy("core", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("core", "hash", "least")
+    single = windows.join(least, ["core", "hash"]).where("least < id").select("id", "copy", "at", F.lit(1).alias("n"))
+    # Ranges of a document's own windows, no more than its words.
+    covered = written(settled.unionByName(single).groupBy("id", "copy").agg(F.collect_list(F.struct("at", "n")).alias("ranges")))
+    dropped(alike, heads, windows)
     hit = restricted(source, written(covered.select("id").distinct()), "id")
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "sha": [], "n_removed": [], "kept": []}
-        for id_, text, sha, starts in zip(batch["id"], batch["text"], batch["sha"], batch["starts"], strict=True):
+        out: dict[str, list] = {"id": [], "copy": [], "n_removed": [], "kept": []}
+        for id_, text, copy, ranges in zip(batch["id"], batch["text"], batch["copy"], batch["ranges"], strict=True):
             words = (text or b"").split()
-            if hashlib.sha256(b" ".join(words)).digest() != sha:
+            if text_number(words) != copy:
                 continue  # another row of the same id
             edge = np.zeros(len(words) + 1, np.int64)
+            starts = np.array([r["at"] for r in ranges], np.int64)
             np.add.at(edge, starts, 1)
-            np.subtract.at(edge, np.array(starts) + width, 1)
+            np.subtract.at(edge, starts + np.array([r["n"] for r in ranges], np.int64) + (width - 1), 1)
             gone = np.cumsum(edge)[:-1] > 0
             out["id"].append(id_)
-            out["sha"].append(sha)
+            out["copy"].append(copy)
             out["n_removed"].append(int(gone.sum()))
             out["kept"].append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).digest())
         return out
 
-    cuts = arrow_map(hit.join(covered, "id"), f"id {kind}, sha binary, n_removed bigint, kept binary", cut).dropDuplicates(["id", "sha"])
-    whole = base.join(heads, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("head"), F.lit(False)))
-    out = whole.join(cuts, ["id", "sha"], "left").select(
-        "id", "n", F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"), F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept")
+    cuts = arrow_map(hit.join(covered, "id"), f"id {kind}, copy bigint, n_removed bigint, kept binary", cut).dropDuplicates(["id", "copy"])
+    whole = base.join(first, "sha", "left").withColumn("again", F.coalesce(F.col("id") > F.col("head"), F.lit(False)))
+    out = whole.join(cuts, ["id", "copy"], "left").select(
+        "id", "n", F.when(F.col("again"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"), F.when(F.col("again"), F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept")
     )
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def op9_recompression(spark, sf_dir: str) -> DataFrame:
     return repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, j FROM win JOIN least USING (h), unnest(range(i, i + 50)) AS t(j) WHERE m < doc_id),
+told AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS words FROM told ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -4,7 +4,7 @@ import pytest
 from brute import near_duplicates as brute_near
 from brute import repeated_words as brute_repeated
 
-from millrace.llm.neardup import near_duplicates
+from millrace.llm.neardup import near_duplicates, sharing_rare
 from millrace.llm.substring import repeated_words
 
 SCHEMA = "doc_id bigint, text string, n bigint, id string, set string"
@@ -69,3 +69,53 @@ def test_empty_null_and_repeated_rows(spark):
     assert near == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False)]
     cut = sorted((r.doc_id or 0, r.n_removed) for r in repeated_words(table(spark, rows)).collect())
     assert cut == [(0, 0), (0, 0), (3, 0), (3, 0), (7, 0), (7, 0), (8, 60), (9, 60)]
+
+
+def near_copies(seed, docs, words, edits):
+    """Copies of one text, each with so many random words put in, taken out or changed."""
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = []
+    for i in range(docs):
+        w = list(base)
+        for _ in range(r.choice(edits)):
+            at = r.randrange(len(w))
+            kind = r.random()
+            w[at : at + (kind < 0.7)] = [] if kind < 0.2 else [f"x{r.randrange(10**6)}"] if kind < 0.9 else [r.choice(base)]
+        rows.append((i + 1, " ".join(w)))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "edits"), [(1, [2, 3, 4]), (2, [0, 1, 5, 9]), (3, [4, 5]), (4, [3])])
+def test_groups_around_the_threshold(spark, seed, edits):
+    rows = near_copies(seed, 120, 120, edits)
+    got = near_duplicates(table(spark, rows), width=3, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, 3, 85)
+
+
+def test_rare_shingles_find_all_pairs_and_few_more(spark):
+    rows = near_copies(7, 200, 100, [1, 2, 3, 4, 6, 8])
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    number = {s: k for k, s in enumerate({s for x in sets.values() for s in x})}
+    df = spark.createDataFrame([(i, i, [number[s] for s in x]) for i, x in sets.items()], "id bigint, component bigint, set array<bigint>")
+    found = {(r.a, r.b) for r in sharing_rare(df, 85).collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert alike <= found and len(found) <= 4 * len(alike)
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_passages_that_many_documents_share(spark, seed):
+    r = random.Random(seed)
+    passages = [[f"p{p}x{k}" for k in range(r.choice([49, 50, 51, 70, 130]))] for p in range(4)] + [["same"] * 80, ["a", "b"] * 40]
+    rows = []
+    for i in range(150):
+        w = []
+        for _ in range(r.randrange(1, 4)):
+            w += [f"u{r.randrange(10**6)}" for _ in range(r.randrange(40))]
+            p = r.choice(passages)
+            low = r.choice([0, 0, 0, r.randrange(20)])
+            w += p[low : len(p) - r.choice([0, 0, r.randrange(10)])]
+        rows.append((1000 - i, " ".join(w)))
+    got = repeated_words(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeated(rows, 50)
