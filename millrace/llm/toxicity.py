@@ -18,6 +18,8 @@ from millrace.llm.langid import held_out
 #: Expected numbers of labelled examples that the fit takes, of label 1 and 0.
 POSITIVE, NEGATIVE = 2000, 3000
 TERMS, NEIGHBOURS, BLOCK = 400, 15, 32
+#: Examples of label 1 that a term is in, at least.
+LEAST = 4
 PREFIXES = (3, 4, 5, 6, 7)
 RESTS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 #: ASCII other than letters and digits parts words; letters were lower-cased before.
@@ -98,8 +100,13 @@ class Model:
 
     def __init__(self, rows: list[tuple[bytes, int, float]]):
         rows = sorted(rows)
-        texts = [set(x for w in set(words(t)) for x in terms_of(w)) for t, _, _ in rows]
-        seen = [Counter(x for s, (_, y, _) in zip(texts, rows, strict=True) if y == label for x in s) for label in (0, 1)]
+        # Hashes first, so that only terms of several examples of label 1 are held as such.
+        parts = [np.fromiter({hash(x) for w in set(words(t)) for x in terms_of(w)}, np.int64) for t, y, _ in rows if y == 1]
+        found, times = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
+        several = set(found[times >= LEAST].tolist())
+        seen = [Counter(), Counter()]
+        for t, y, _ in rows:
+            seen[y].update({x for w in set(words(t)) for x in terms_of(w) if hash(x) in several})
         n0, n1 = max(1, sum(y == 0 for _, y, _ in rows)), max(1, sum(y == 1 for _, y, _ in rows))
 
         def chi(x: bytes) -> float:
@@ -107,7 +114,7 @@ class Model:
             p = (seen[1][x] + seen[0][x]) / (n0 + n1)
             return (a - b) * abs(a - b) / (p * (1 - p) + 1e-9)
 
-        some = sorted((x for x in seen[1] if seen[1][x] >= 4 and seen[1][x] / n1 > 3 * seen[0][x] / n0), key=lambda x: (-chi(x), x))[:TERMS]
+        some = sorted((x for x in seen[1] if seen[1][x] >= LEAST and seen[1][x] / n1 > 3 * seen[0][x] / n0), key=lambda x: (-chi(x), x))[:TERMS]
         self.numbers = {x: i for i, x in enumerate(sorted(some))}
         df = np.array([seen[0][x] + seen[1][x] for x in sorted(some)] or [1.0])
         self.idf = np.log(1 + len(rows) / df)
