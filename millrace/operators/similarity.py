@@ -23,12 +23,17 @@ def dense_index(df: DataFrame, column: str, index: str = "idx") -> DataFrame:
     return ranked.join(F.broadcast(before), "bucket").select(column, (F.col("rank") + F.col("before")).cast("bigint").alias(index))
 
 
+def family(hashes: int, seed: int | None = None) -> list[int]:
+    """The first primes, shuffled if there is a seed."""
+    out = primes(hashes)
+    if seed is not None:
+        random.Random(seed).shuffle(out)
+    return out
+
+
 def signatures(rows: DataFrame, entity: str, index: str, universe: int, hashes: int, seed: int | None = None) -> DataFrame:
     """(entity, signature): the least of (p * x + i) mod universe over an entity's numbers x, for the i-th of the first primes (shuffled by a seed). One aggregation with map-side minima."""
-    family = primes(hashes)
-    if seed is not None:
-        random.Random(seed).shuffle(family)
-    least = [F.min(linear_hash(F.col(index), p, i, universe)) for i, p in enumerate(family)]
+    least = [F.min(linear_hash(F.col(index), p, i, universe)) for i, p in enumerate(family(hashes, seed))]
     return rows.groupBy(entity).agg(F.array(*least).alias("signature"))
 
 

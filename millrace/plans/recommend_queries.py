@@ -185,6 +185,18 @@ def op_lsh_bucket_join(spark, d):
     return similarity.bucket_pairs(similarity.bands(similarity.signatures(rows, "business_id", "idx", UNIVERSE, HASHES), "business_id", HASHES // 2, 2), "business_id")
 
 
-@query()
+LSH_BANDS, LSH_ROWS = 50, 2
+_FAMILY = similarity.family(LSH_BANDS * LSH_ROWS, 1)
+_INDEXED = "indexed AS (SELECT user_id, row_number() OVER (ORDER BY substr(md5(user_id), 1, 3), user_id) - 1 AS idx, count(*) OVER () AS universe FROM (SELECT DISTINCT user_id FROM visits))"
+_LSH = f"""family AS (SELECT unnest([{", ".join(map(str, _FAMILY))}]) AS p, unnest(range({len(_FAMILY)})) AS i),
+signed AS (SELECT business_id, i, min((p * idx + i) % universe) AS h FROM visits JOIN indexed USING (user_id), family GROUP BY 1, 2),
+banded AS (SELECT business_id, i // {LSH_ROWS} AS band, list(h ORDER BY h) AS part FROM signed GROUP BY 1, 2),
+near AS (SELECT DISTINCT x.business_id AS a, y.business_id AS b FROM banded x JOIN banded y ON x.band = y.band AND x.part = y.part AND x.business_id < y.business_id)"""
+
+
+@query(
+    f"""{V.with_(V.REVIEWS, V.VISITS, _SIZES, _SHARED, _INDEXED, _LSH)} SELECT a, b, round(n / (sa.size + sb.size - n), 6) AS sim
+FROM shared JOIN near USING (a, b) JOIN sizes sa ON sa.business_id = a JOIN sizes sb ON sb.business_id = b WHERE n / (sa.size + sb.size - n) >= {JACCARD}"""
+)
 def op_lsh_jaccard_pairs(spark, d):
-    return similarity.lsh_jaccard_pairs(written(V.visits(spark, d)), "business_id", "user_id", JACCARD, 50, 4, seed=1)
+    return similarity.lsh_jaccard_pairs(written(V.visits(spark, d)), "business_id", "user_id", JACCARD, LSH_BANDS, LSH_ROWS, seed=1).withColumn("sim", F.round("sim", 6))

@@ -188,7 +188,7 @@ def op_partitioned_having(spark, d):
     return stats.having_gt(stats.dealt_by_first_character(V.reviews(spark, d).select("business_id"), "business_id", 10), "business_id", 40)
 
 
-@query()
+@query(f"SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings WHERE CAST('0x' || substr(md5('0:' || vec_id), 1, 7) AS BIGINT) < {int(0.8 * (1 << 28))}")
 def op_sample(spark, d):
     return stats.hash_sample(V.points(spark, d), "id", 0.8).select("id", "label")
 

@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_without_sql_is_known():
     without = {n for n in __spark_entry__.queries() if n.startswith("op_")} - set(__spark_entry__.oracle_sql())
-    assert without == {"op_sample", "op_als", "op_als_blend", "op_lsh_jaccard_pairs", "op_girvan_newman", "op_bfr_seed", "op_bfr_residual", "op_bfr_merge_cs", "op_bfr_recluster_rs", "op_bfr", "op_bfr_round_stats", "op_hierarchical"}
+    assert without == {"op_als", "op_als_blend", "op_girvan_newman", "op_bfr_seed", "op_bfr_residual", "op_bfr_merge_cs", "op_bfr_recluster_rs", "op_bfr", "op_bfr_round_stats", "op_hierarchical"}
 
 
 def test_entry(spark):
