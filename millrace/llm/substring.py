@@ -152,10 +152,10 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         return {"id": pa.array(batch["id"]).take(pa.array(np.concatenate(whose))) if whose else [], "anchor": pa.array(np.concatenate(found)) if whose else []}
 
     heard = written(arrow_map(rest, f"id {kind}, anchor bigint", find))
-    several = heard.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    several = written(heard.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
     # A document's own anchors, no more than its words.
-    shared = written(heard.join(several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
-    dropped(heard)
+    shared = written(restricted(heard, several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
+    dropped(heard, several)
     near = restricted(rest, written(shared.select("id")), "id").join(shared, "id")
 
     def compare(batch: dict[str, list]) -> dict[str, list]:
@@ -189,21 +189,22 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     found = written(arrow_map(near, f"id {kind}, copy bigint, core bigint, run bigint, at bigint, hashes array<bigint>", compare))
     dropped(shared)
-    across = found.groupBy("core").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("core")
-    alike = written(found.join(across, "core"))
-    dropped(found)
+    # Each side of the joins below is a written table, so that Spark can split the partitions of frequent keys.
+    across = written(found.groupBy("core").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("core"))
+    alike = written(restricted(found, across, "core"))
+    dropped(found, across)
     # Of equal runs, all but those of the smallest id go as a whole; what matches a window of one of them matches the smallest one's.
     heads = written(alike.groupBy("core", "run").agg(F.min("id").alias("head")))
     settled = alike.select("id", "copy", "core", "run", "at", F.size("hashes").alias("n")).join(heads, ["core", "run"]).where("head < id").select("id", "copy", "at", "n")
-    several = heads.groupBy("core").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("core")
-    firsts = heads.join(several, "core").select("core", "run", F.col("head").alias("id"))
+    several = written(heads.groupBy("core").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("core"))
+    firsts = written(restricted(heads, several, "core").select("core", "run", F.col("head").alias("id")))
     windows = alike.join(firsts, ["core", "run", "id"]).select("id", "copy", "core", "at", F.posexplode("hashes").alias("place", "hash"))
     windows = written(windows.select("id", "copy", "core", "hash", (F.col("at") + F.col("place")).alias("at")))
-    least = windows.groupBy("core", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("core", "hash", "least")
+    least = written(windows.groupBy("core", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("core", "hash", "least"))
     single = windows.join(least, ["core", "hash"]).where("least < id").select("id", "copy", "at", F.lit(1).alias("n"))
     # Ranges of a document's own windows, no more than its words.
     covered = written(settled.unionByName(single).groupBy("id", "copy").agg(F.collect_list(F.struct("at", "n")).alias("ranges")))
-    dropped(alike, heads, windows)
+    dropped(alike, heads, several, firsts, windows, least)
     hit = restricted(source, written(covered.select("id").distinct()), "id")
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
