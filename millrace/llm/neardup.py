@@ -148,15 +148,15 @@ def sharing_rare(docs: DataFrame, percent: int) -> DataFrame:
     one component only, are dropped before they are joined, so a large group of near copies that differ a little too much makes no pairs.
     """
     rows = docs.select("id", "component", F.size("set").alias("n"), F.explode("set").alias("s"))
-    common = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
-    each = rows.join(common, "s").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s", (F.col("low") < F.col("high")).alias("across")))).alias("order"))
+    common = written(rows.groupBy("s").agg(F.count("*").alias("f"), (F.min("component") < F.max("component")).alias("across")).where("f > 1"))
+    each = rows.join(common, "s").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s", "across"))).alias("order"))
     place = F.col("n") - F.size("order") + F.col("i")
     first = each.select("id", "component", "n", "order", F.posexplode("order").alias("i", "e")).where(place <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).where("e.across")
     first = written(first.select("id", "component", "n", F.col("e.s").alias("s"), (F.col("n") - place).alias("rest")))
-    least = first.groupBy("s").agg(F.min("n").alias("least"))
+    least = written(first.groupBy("s").agg(F.min("n").alias("least")))
     able = written(first.join(least, "s").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))).select("id", "component", "n", "s", "rest"))
-    across = able.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("s")
-    able = written(able.join(across, "s"))
+    across = written(able.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("s"))
+    able = written(restricted(able, across, "s"))
     x, y = able.alias("x"), able.alias("y")
     near = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & ((100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n")))
     return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -175,8 +175,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # Each distinct set once; an id that has several texts may stand for several sets.
     heads = told.join(first, "print").where("id = rep").dropDuplicates(["print"]).select(F.col("id").alias("rep"), "n", "bands")
     banded = heads.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot")
+    # Each side of the joins below is a written table, so that Spark can split the partitions of frequent keys.
+    banded = written(banded)
+    shared = written(banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot"))
     members = written(banded.join(shared, "band"))
+    dropped(banded)
     stars = written(members.where("pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     ids = written(members.select(F.col("rep").alias(id_col)).distinct())
     sets = written(with_sets(restricted(documents, ids, id_col), width, id_col, text_col).dropDuplicates())
@@ -184,8 +187,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     once = written(components(links))
     # Members of a bucket that are still apart: an exact join of their rarest shingles finds all links between them.
     placed = written(members.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
-    apart = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    mixed = written(placed.join(apart, "band").select(F.col("rep").alias("id"), "component").distinct())
+    apart = written(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"))
+    mixed = written(restricted(placed, apart, "band").select(F.col("rep").alias("id"), "component").distinct())
     more = sharing_rare(mixed.join(sets, "id"), percent).join(stars, ["a", "b"], "left_anti")
     more = written(verified(written(more), sets, percent))
     if more.limit(1).count():
@@ -195,7 +198,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         joined = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("root"))
         every = once.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))).distinct()
         once = written(every.join(joined, "component", "left").groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component")))
-    dropped(members, stars, ids, sets, links, placed)
+    dropped(members, shared, stars, ids, sets, links, placed, apart, mixed)
     # The representative's component, by set; then rows with one id take the least of theirs.
     roots = first.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("root"))
     out = base.select("id", "n", "print").join(roots, "print", "left").select("id", "n", F.coalesce("root", "id").alias("component"))
