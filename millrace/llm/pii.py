@@ -67,7 +67,7 @@ def core(word: str) -> tuple[int, int]:
     low, high = 0, len(word)
     while low < high and word[low] in "\"'“”‘’«»(<[{,;:=.!?":
         low += 1
-    while high > low and word[high - 1] in "\"'“”‘’«»)>]},;:.!?":
+    while high > low and word[high - 1] in "\"'“”‘’«»)>]},;:.!?#$%&*|~":
         high -= 1
     return low, high
 
@@ -289,6 +289,8 @@ class Finder:
                     if all(self.plain[w] for w, _ in line[t:end]):
                         continue
                     a, b = line[t][1] + core(line[t][0])[0], line[end - 1][1] + core(line[end - 1][0])[1]
+                    if a < b and texts[i][a - 1 : a] == "(" and ")" in texts[i][a:b]:
+                        a -= 1
                     if a < b:
                         out[i].append((LABELS[labels[t]][2:], a, b))
         return out
@@ -307,9 +309,9 @@ class Finder:
 
 
 def sound(kind: str, found: str) -> bool:
-    """Cards of the field have to pass Luhn's test, and addresses the limit of 255, as base ones do."""
+    """Cards of the field have to pass Luhn's test, addresses the limit of 255, and phones the limits of 9 and 15 digits, as base ones do."""
     digits = re.sub(r"[^0-9]", "", found)
-    return (kind != "card" or 13 <= len(digits) <= 19 and luhn(digits)) and (kind != "ip" or all(len(p) <= 3 and int(p) <= 255 for p in re.findall(r"[0-9]+", found)))
+    return (kind != "phone" or 9 <= len(digits) <= 15) and (kind != "card" or 13 <= len(digits) <= 19 and luhn(digits)) and (kind != "ip" or all(len(p) <= 3 and int(p) <= 255 for p in re.findall(r"[0-9]+", found)))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
