@@ -183,7 +183,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     stars = written(members.where("pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     ids = written(members.select(F.col("rep").alias(id_col)).distinct())
     sets = written(with_sets(restricted(documents, ids, id_col), width, id_col, text_col).dropDuplicates())
-    links = written(verified(stars, sets, percent).distinct())
+    links = written(verified(stars, sets, percent))
     once = written(components(links))
     # Members of a bucket that are still apart: an exact join of their rarest shingles finds all links between them.
     placed = written(members.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component")))
