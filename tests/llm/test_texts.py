@@ -287,7 +287,7 @@ def test_tokens_equal_the_named_tokenizer(spark):
 
 
 def test_packing_places_every_piece_once(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(table(spark, ODD).select("doc_id", "text"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(table(spark, ODD).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     rows = packing.packed(docs, room=512).collect()
     by = {}
     for r in rows:
@@ -301,7 +301,7 @@ def test_packing_places_every_piece_once(spark):
         assert at <= 512
         total += at
     assert len(by) <= 1.02 * -(-total // 512) + 1
-    one = [r for r in rows if r.doc_id == 4]
+    one = [r for r in rows if r.doc_id == 10**6 + 4]
     assert [r.start for r in sorted(one, key=lambda r: r.piece)] == list(itertools.accumulate([0] + [r.length for r in sorted(one, key=lambda r: r.piece)][:-1]))
     assert all(r.length == 512 for r in one if r.piece > 0)
     assert packing.packed(table(spark, [])).count() == 0
