@@ -49,6 +49,14 @@ def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa
                 yield batch.slice(low, high - low)
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose session sends 1,000 rows at once to Python where it has Spark's 10,000: executors hold batches of whole texts outside their heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def arrow_map(df: DataFrame, schema: str, function: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
     """mapInArrow for a function from a batch's columns, as lists, to the output's columns."""
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
@@ -58,7 +66,7 @@ def arrow_map(df: DataFrame, schema: str, function: Callable[[dict[str, list]],
             out = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return batched(df).mapInArrow(run, schema)
 
 
 def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
@@ -68,7 +76,7 @@ def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]])
         for batch in parts(batches):
             yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return batched(df).mapInArrow(run, df.schema)
 
 
 def shared(spark: SparkSession, value) -> Callable:
