@@ -1,7 +1,7 @@
 """Personal data: four base patterns, and a linear-chain conditional random field over word-shape features.
 
 The field's features depend on one word each (of the place, the one before and the one after), so its scores are sums of rows that are looked up by
-word. A line is decoded unless each of its words favours `O` by more than all transitions can return, when `O` everywhere is its best path.
+word. A line is decoded unless `O` everywhere is provably its best path: no stretch of its words has scores and transitions that can return more.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\S+")
+#: Words that are features by themselves; all others are known by their shape alone.
+TOLD = frozenset(("token", "secret", "password", "key", "apikey", "api_key", "passwd", "pwd", "bearer", "at", "dot", "phone", "tel", "call", "ip", "host", "card", "visa", "mail", "email", "e-mail"))
 
 
 def luhn(digits: str) -> bool:
@@ -92,7 +94,7 @@ def features(word: str) -> list[str]:
             out.append(f"has{c}{min(w.count(c), 4)}")
     if n <= 12 and w.isalpha():
         out.append("alpha")
-        if w.lower() in ("token", "secret", "password", "key", "apikey", "api_key", "passwd", "pwd", "bearer", "at", "dot", "phone", "tel", "call", "ip", "host", "card", "visa", "mail", "email", "e-mail"):
+        if w.lower() in TOLD:
             out.append(f"word={w.lower()}")
     if word in ("=", ":", "=>", ":="):
         out.append("assign")
@@ -182,30 +184,72 @@ class Field:
                 self.moves[[i for i, v in enumerate(LABELS) if v[2:] != label[2:]], j] = -50
 
 
+class Alike(dict):
+    """For str.translate: letters and ASCII digits of one kind become the same one, which changes no feature of words that are not in TOLD."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        if c.isalpha():
+            kind = "xX" if c.isascii() else "éÉ" if not c.isupper() or "À" <= c <= "Þ" else "éĀ"
+            code_of = ord(kind[c.isupper()])
+        else:
+            code_of = ord("0") if c.isascii() and c.isdigit() else code
+        self[code] = code_of
+        return code_of
+
+
 class Scores(dict):
-    """word -> (3, labels): what it adds to the scores of the next place, its own and the one before."""
+    """word -> the row of `table` (rows, 3, labels) that has what it adds to the scores of the next place, its own and the one before. Row 0 adds nothing."""
 
     def __init__(self, field: Field):
         super().__init__()
-        self.field = field
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > 100_000:
+        self.field, self.rows, self.alike, self.table = field, {}, Alike(), np.zeros((1024, 3, len(LABELS)))
+
+    def __missing__(self, word: str) -> int:
+        key = word if word[slice(*core(word))].lower() in TOLD else word.translate(self.alike)
+        row = self.rows.get(key)
+        if row is None:
+            row = self.rows[key] = len(self.rows) + 1
+            if row == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[row] = self.field.weights[:, numbers(word)].sum(1)
+        self[word] = row
+        return row
+
+    def trim(self) -> None:
+        """Between batches only, as it renames rows."""
+        if len(self) > 300_000 or len(self.rows) > 50_000:
             self.clear()
-        out = self[word] = self.field.weights[:, numbers(word)].sum(1)
-        return out
+            self.rows.clear()
 
 
-class Plain(dict):
-    """word -> whether it is plain: letters that marks may follow, or marks alone."""
+def entering(moves: np.ndarray) -> np.ndarray:
+    """The most that transitions can return, against those of `O` everywhere, for each place that has a label: what leads back to `O` is counted where a label is entered."""
+    gain = moves - moves[0, 0]
+    back = np.minimum(0, -gain[:, 0])
+    out = np.maximum(0, (gain + back[:, None]).max(0)) - back
+    out[0] = 0
+    return out
 
-    rule = re.compile(r"[^\W\d_]{1,60}[^\w\s]{0,5}|[^\w\s]{1,8}")
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = self.rule.fullmatch(word) is not None
-        return out
+def undecided(ids: np.ndarray, table: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """Which places of lines, between which ids is 0, may have a label other than `O` on a best path.
+
+    A best path with one at a place has a stretch of them around it that returns no less than `O`; so the place is decided if no stretch that holds
+    it has a sum of bounds above 0.
+    """
+    apart = table - table[:, :, :1]
+    before, own, after = (np.ascontiguousarray(apart[:, i, 1:] + (enter[1:] if i == 1 else 0)) for i in range(3))
+    bound = np.empty(len(ids))
+    around = np.concatenate([[0], ids, [0]])
+    for low in range(0, len(ids), 1 << 15):
+        part = around[low : low + (1 << 15) + 2]
+        bound[low : low + (1 << 15)] = (before[part[:-2]] + own[part[1:-1]] + after[part[2:]]).max(1)
+    bound[ids == 0] = -1000
+    total = np.concatenate([[0], np.cumsum(bound)])
+    upto = total[1:] - np.minimum.accumulate(total)[:-1]
+    onward = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
+    return (upto + onward - bound > -1e-3) & (ids != 0)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -229,16 +273,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.nd
     return out
 
 
-def sequence_scores(words: list[str], scores: Scores) -> np.ndarray:
-    rows = np.stack([scores[w] for w in words])
-    out = rows[:, 1].copy()
-    out[1:] += rows[:-1, 0]
-    out[:-1] += rows[1:, 2]
-    return out
+def sequence_scores(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Scores of the places of a line but the first and last, which stand for its surroundings."""
+    return table[ids[:-2], 0] + table[ids[1:-1], 1] + table[ids[2:], 2]
 
 
-def decoded(lines: list[list[str]], field: Field, scores: Scores) -> list[np.ndarray]:
-    """Labels of each line. Lines go by length, in padded batches."""
+def decoded(lines: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """Labels of lines with these scores. Lines go by length, in padded batches."""
     out: list = [None] * len(lines)
     order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
     low = 0
@@ -250,8 +291,8 @@ def decoded(lines: list[list[str]], field: Field, scores: Scores) -> list[np.nda
         n = np.array([len(lines[i]) for i in part])
         padded = np.zeros((len(part), n.max(), len(LABELS)))
         for j, i in enumerate(part):
-            padded[j, : n[j]] = sequence_scores(lines[i], scores)
-        for j, (i, path) in enumerate(zip(part, viterbi(padded, n, field.moves), strict=True)):
+            padded[j, : n[j]] = lines[i]
+        for j, (i, path) in enumerate(zip(part, viterbi(padded, n, moves), strict=True)):
             out[i] = path[: n[j]]
         low = high
     return out
@@ -261,38 +302,37 @@ class Finder:
     """All spans of texts. Made once in each task."""
 
     def __init__(self, field: Field):
-        self.field, self.scores, self.plain = field, Scores(field), Plain()
+        self.field, self.scores, self.enter = field, Scores(field), entering(field.moves)
 
     def added(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) that the field finds in each text."""
-        lines, owners = [], []
-        plain = self.plain.__getitem__
+        self.scores.trim()
+        row = self.scores.__getitem__
+        ids, lines = [0], []
         for i, text in enumerate(texts):
             at = 0
             for line in text.split("\n"):
-                if not all(map(plain, line.split())):
-                    found = [(m[0], at + m.start()) for m in _WORD.finditer(line)]
-                    for low in range(0, len(found), LONGEST):
-                        lines.append(found[low : low + LONGEST])
-                        owners.append(i)
+                if words := line.split():
+                    lines.append((i, at, at + len(line), len(ids)))
+                    ids += map(row, words)
+                    ids.append(0)
                 at += len(line) + 1
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for low in range(0, len(lines), 2048):
-            part = lines[low : low + 2048]
-            for i, line, labels in zip(owners[low : low + 2048], part, decoded([[w for w, _ in x] for x in part], self.field, self.scores), strict=True):
-                for t in np.flatnonzero(labels).tolist():
-                    if LABELS[labels[t]][0] != "B":
-                        continue
-                    end = t + 1
-                    while end < len(line) and labels[end] == labels[t] + 1:
-                        end += 1
-                    if all(self.plain[w] for w, _ in line[t:end]):
-                        continue
-                    a, b = line[t][1] + core(line[t][0])[0], line[end - 1][1] + core(line[end - 1][0])[1]
-                    if a < b and texts[i][a - 1 : a] == "(" and ")" in texts[i][a:b]:
-                        a -= 1
-                    if a < b:
-                        out[i].append((LABELS[labels[t]][2:], a, b))
+        if not lines:
+            return out
+        ids, table = np.array(ids), self.scores.table[: len(self.scores.rows) + 1]
+        open_ = undecided(ids, table, self.enter)
+        blocks = []
+        for x, (i, at, stop, first) in enumerate(lines):
+            last = lines[x + 1][3] - 1 if x + 1 < len(lines) else len(ids) - 1
+            if open_[first:last].any():
+                places = [(m[0], at + m.start()) for m in _WORD.finditer(texts[i][at:stop])]
+                blocks += [(i, places[low : low + LONGEST], first + low) for low in range(0, len(places), LONGEST)]
+        for low in range(0, len(blocks), 2048):
+            part = blocks[low : low + 2048]
+            scores = [sequence_scores(np.concatenate([[0], ids[first : first + len(line)], [0]]), table) for _, line, first in part]
+            for (i, line, _), labels in zip(part, decoded(scores, self.field.moves), strict=True):
+                out[i] += spans_of(texts[i], line, labels)
         return out
 
     def find(self, texts: list[str | None]) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:
@@ -308,6 +348,23 @@ class Finder:
         return out
 
 
+def spans_of(text: str, places: list[tuple[str, int]], labels: np.ndarray) -> list[tuple[str, int, int]]:
+    """(kind, start, end) that the labels mark, for words and their starts in the text."""
+    out = []
+    for t in np.flatnonzero(labels).tolist():
+        if LABELS[labels[t]][0] != "B":
+            continue
+        end = t + 1
+        while end < len(places) and labels[end] == labels[t] + 1:
+            end += 1
+        a, b = places[t][1] + core(places[t][0])[0], places[end - 1][1] + core(places[end - 1][0])[1]
+        if a < b and text[a - 1 : a] == "(" and ")" in text[a:b]:
+            a -= 1
+        if a < b:
+            out.append((LABELS[labels[t]][2:], a, b))
+    return out
+
+
 def sound(kind: str, found: str) -> bool:
     """Cards of the field have to pass Luhn's test, addresses the limit of 255, and phones the limits of 9 and 15 digits, as base ones do."""
     digits = re.sub(r"[^0-9]", "", found)

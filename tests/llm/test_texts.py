@@ -181,6 +181,30 @@ def test_field_finds_held_out_spans_and_leaves_clean_text(field):
     assert all(not spans for _, spans in finder.find(clean))
 
 
+def test_field_finds_spans_of_letters_only(field):
+    texts = ["mail bob at example dot com today", "one\nreach me: carla at mail dot example dot org or later\ntwo"]
+    assert [[t[a:b] for k, a, b in spans if k == "email"] for t, (_, spans) in zip(texts, pii.Finder(field).find(texts), strict=True)] == [["bob at example dot com"], ["carla at mail dot example dot org"]]
+
+
+def test_words_that_share_a_row_have_the_same_features(field):
+    r = random.Random(4)
+    words = ["".join(r.choices("aZéÉßĀāªǅΩ漢×²٣09_-.@+=:\"'(!", k=r.randrange(1, 24))) for _ in range(20000)] + [w + m for w in (*pii.TOLD, "KEY", "\u212aey") for m in ("", ":", "!!", "%")]
+    alike = pii.Alike()
+    for w in words:
+        assert w[slice(*pii.core(w))].lower() in pii.TOLD or pii.features(w) == pii.features(w.translate(alike)), w
+
+
+def test_only_lines_that_cannot_have_labels_are_skipped(field):
+    r = random.Random(2)
+    words = sorted({w for words, _ in pii.read_table() for w in words})
+    lines = [" ".join(r.choices(words, k=r.randrange(1, 12))) for _ in range(3000)]
+    scores = pii.Scores(field)
+    ids = [[0, *(scores[w] for w in x.split()), 0] for x in lines]
+    best = pii.decoded([pii.sequence_scores(np.array(x), scores.table) for x in ids], field.moves)
+    may = [pii.undecided(np.array(x), scores.table, pii.entering(field.moves))[1:-1] for x in ids]
+    assert all(m[np.flatnonzero(b)].all() for m, b in zip(may, best, strict=True)) and 0 < sum(not m.any() for m in may)
+
+
 def test_pii_rows_and_redaction(spark, field):
     texts = [*ODD, (20, "mail a.b@c.de or 10.0.0.1, card 4111 1111 1111 1111, call +1 (212) 555-0147 now")]
     rows = pii.personal(table(spark, texts), field=field).collect()
