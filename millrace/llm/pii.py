@@ -1,13 +1,15 @@
 """Personal data: four base patterns, and a linear-chain conditional random field over word-shape features.
 
 The field's features depend on one word each (of the place, the one before and the one after), so its scores are sums of rows that are looked up by
-word. A line is decoded unless `O` everywhere is provably its best path: no stretch of its words has scores and transitions that can return more.
+word. A word is left out of decoding if `O` is provably its label on the best path of its line, however long: no stretch of words around it has scores
+and transitions that can return more.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,8 +22,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 HASHED = 1 << 11
 EPOCHS, RATE, RIDGE = 150, 0.1, 0.01
-#: Longest sequence that is decoded at once; longer lines are cut there.
-LONGEST = 512
+#: Places of a padded batch that is decoded at once, or one longer stretch.
+PLACES = 1 << 17
 
 _LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -285,7 +287,7 @@ def decoded(lines: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
     low = 0
     while low < len(order):
         high = low
-        while high < len(order) and high - low < 256 and (high == low or len(lines[order[high]]) <= 1.25 * len(lines[order[low]]) + 4):
+        while high < len(order) and high - low < 256 and (high == low or len(lines[order[high]]) <= min(1.25 * len(lines[order[low]]) + 4, PLACES // (high - low + 1))):
             high += 1
         part = order[low:high]
         n = np.array([len(lines[i]) for i in part])
@@ -321,18 +323,25 @@ class Finder:
         if not lines:
             return out
         ids, table = np.array(ids), self.scores.table[: len(self.scores.rows) + 1]
-        open_ = undecided(ids, table, self.enter)
-        blocks = []
-        for x, (i, at, stop, first) in enumerate(lines):
-            last = lines[x + 1][3] - 1 if x + 1 < len(lines) else len(ids) - 1
-            if open_[first:last].any():
-                places = [(m[0], at + m.start()) for m in _WORD.finditer(texts[i][at:stop])]
-                blocks += [(i, places[low : low + LONGEST], first + low) for low in range(0, len(places), LONGEST)]
-        for low in range(0, len(blocks), 2048):
-            part = blocks[low : low + 2048]
-            scores = [sequence_scores(np.concatenate([[0], ids[first : first + len(line)], [0]]), table) for _, line, first in part]
-            for (i, line, _), labels in zip(part, decoded(scores, self.field.moves), strict=True):
-                out[i] += spans_of(texts[i], line, labels)
+        # Stretches of undecided places, with a place on either side, if the line has one, that is held at O: what lies beyond cannot matter.
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], undecided(ids, table, self.enter), [0]])))
+        stretches = [(low - (ids[low - 1] != 0), high + (ids[high] != 0), low, high) for low, high in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+        firsts = [x[3] for x in lines]
+        known, places = -1, []
+        for at_once in range(0, len(stretches), 2048):
+            part = stretches[at_once : at_once + 2048]
+            scores = []
+            for low, high, a, b in part:
+                scores.append(sequence_scores(ids[low - 1 : high + 1], table))
+                scores[-1][: a - low, 1:] = scores[-1][b - low :, 1:] = -1e6
+            for (low, high, _, _), labels in zip(part, decoded(scores, self.field.moves), strict=True):
+                if not labels.any():
+                    continue
+                n = bisect_right(firsts, low) - 1
+                i, at, stop, first = lines[n]
+                if n != known:
+                    known, places = n, [(m[0], at + m.start()) for m in _WORD.finditer(texts[i][at:stop])]
+                out[i] += spans_of(texts[i], places[low - first : high - first], labels)
         return out
 
     def find(self, texts: list[str | None]) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:

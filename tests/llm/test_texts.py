@@ -186,6 +186,24 @@ def test_field_finds_spans_of_letters_only(field):
     assert [[t[a:b] for k, a, b in spans if k == "email"] for t, (_, spans) in zip(texts, pii.Finder(field).find(texts), strict=True)] == [["bob at example dot com"], ["carla at mail dot example dot org"]]
 
 
+def test_spans_across_any_place_of_a_long_line(field):
+    finder = pii.Finder(field)
+    for n in (509, 510, 511, 1022, 3000):
+        text = " ".join(itertools.islice(itertools.cycle(["and", "the", "of"]), n)) + " phone (303) 555-0199 after six" + " and the of" * 500
+        assert [text[a:b] for _, a, b in finder.find([text])[0][1]] == ["(303) 555-0199"], n
+
+
+def test_stretches_give_the_labels_of_whole_lines(field):
+    r = random.Random(6)
+    words = [w for words, _ in pii.read_table() for w in words]
+    lines = [" ".join(w for _ in range(r.randrange(1, 40)) for w in (lambda at: words[at : at + r.randrange(1, 9)])(r.randrange(len(words)))) for _ in range(800)]
+    scores = pii.Scores(field)
+    ids = [np.array([0, *(scores[w] for w in x.split()), 0]) for x in lines]
+    whole = pii.decoded([pii.sequence_scores(x, scores.table) for x in ids], field.moves)
+    want = [pii.spans_of(x, [(m[0], m.start()) for m in pii._WORD.finditer(x)], y) for x, y in zip(lines, whole, strict=True)]
+    assert pii.Finder(field).added(lines) == want and sum(map(len, want)) > 500
+
+
 def test_words_that_share_a_row_have_the_same_features(field):
     r = random.Random(4)
     words = ["".join(r.choices("aZéÉßĀāªǅΩ漢×²٣09_-.@+=:\"'(!", k=r.randrange(1, 24))) for _ in range(20000)] + [w + m for w in (*pii.TOLD, "KEY", "\u212aey") for m in ("", ":", "!!", "%")]
