@@ -7,6 +7,7 @@ rows, however large the corpus), making patterns with multiplicities. Each piece
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
@@ -105,10 +106,20 @@ def placements(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that a tokenizer's JSON adds to its vocabulary, which are found in any text before it is split."""
+    with open(path, "rb") as f:
+        found = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that match otherwise than by their characters: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
 def tokenized(documents: DataFrame, path: str, id_col: str, text_col: str, room: int, end: int) -> DataFrame:
-    """A row for each piece of each document. path: the ranks file of the vocabulary, which is on every machine."""
+    """A row for each piece of each document. path: the ranks file of the vocabulary, which is on every machine; the JSON of the same name has its added tokens."""
     from public_tokenizers import PATTERN
 
+    special = added_tokens(path.removesuffix(".tiktoken") + ".json")
     kind = dict(documents.dtypes)[id_col]
     made: list = []
 
@@ -118,10 +129,10 @@ def tokenized(documents: DataFrame, path: str, id_col: str, text_col: str, room:
         if not made:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            made.append(tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
+            made.append(tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special))
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
         for id_, text in zip(batch["id"], batch["text"], strict=True):
-            ids = np.array([*made[0].encode_ordinary(text or ""), end], "<u4")
+            ids = np.array([*made[0].encode(text or "", allowed_special="all"), end], "<u4")
             for p, (s, n) in enumerate(pieces(len(ids), room)):
                 for k, v in (("id", id_), ("piece", p), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(ids[s : s + n]))):
                     out[k].append(v)

@@ -328,6 +328,19 @@ def test_tokens_equal_the_named_tokenizer(spark):
     assert sorted((str(r.id), r.length, r.ids_crc32) for r in rows) == want
 
 
+def test_added_tokens_are_found_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r, end = random.Random(7), "<|endoftext|>"
+    texts = [f"end of it {end} next", end, f"{end}{end}", f"a  {end}  b\n\n{end}\n c{end}d", f"<|{end}|>", end[:-1], end.upper(), f"<|endoftext{end}"]
+    texts = list(enumerate(texts + ["".join(r.choices([end, " ", "  ", "\n", "a", "'s", "9", "é", "<|", "|>", "endoftext"], k=r.randrange(1, 20))) for _ in range(300)]))
+    rows = packing.tokenized(table(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), "doc_id", "text", 10**9, 0).collect()
+    want = {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in texts for ids in [[*named.encode(t, add_special_tokens=False).ids, 0]]}
+    assert {r.id: (r.length, r.ids_crc32) for r in rows} == want and want[0][0] == 7
+
+
 def test_packing_places_every_piece_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(table(spark, ODD).select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     rows = packing.packed(docs, room=512).collect()
