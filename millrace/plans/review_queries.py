@@ -208,6 +208,13 @@ def op_self_join_pairs(spark, d):
     return rows.select("business_id", F.col("user_id").alias("a")).join(rows.select("business_id", F.col("user_id").alias("b")), "business_id").where("a < b").select("business_id", "a", "b")
 
 
+@query(f"{V.with_(V.REVIEWS, V.VISITS)} SELECT x.business_id, x.user_id AS a, y.user_id AS b FROM visits x JOIN visits y ON x.business_id = y.business_id AND x.user_id < y.user_id")
+def op_self_join_pairs_all(spark, d):
+    """op_self_join_pairs over every business."""
+    rows = V.visits(spark, d)
+    return rows.select("business_id", F.col("user_id").alias("a")).join(rows.select("business_id", F.col("user_id").alias("b")), "business_id").where("a < b").select("business_id", "a", "b")
+
+
 @query(
     """SELECT c_custkey, round(abs(c_acctbal), 6) AS magnitude, round(sqrt(abs(c_acctbal)), 6) AS root, round(power(c_acctbal / 100, 2), 6) AS square,
   least(greatest(c_acctbal / 1000, 1.0), 5.0) AS clamped, floor(c_acctbal + 0.5) AS whole, least(c_nationkey, 12) AS low, greatest(c_nationkey, 12) AS high FROM customer"""
@@ -248,6 +255,15 @@ def op_combinations(spark, d):
     return small.select("basket", F.explode(C.subsets("items", 3)).alias("s")).select("basket", F.array_join("s", ",").alias("items"))
 
 
+@query(
+    """WITH u AS (SELECT DISTINCT l_orderkey AS basket, CAST(l_suppkey AS VARCHAR) AS item FROM lineitem)
+SELECT x.basket, x.item || ',' || y.item || ',' || z.item AS items FROM u x JOIN u y ON x.basket = y.basket AND x.item < y.item JOIN u z ON y.basket = z.basket AND y.item < z.item"""
+)
+def op_combinations_all(spark, d):
+    """op_combinations over baskets of every size."""
+    return itemsets.baskets(V.order_baskets(spark, d)).select("basket", F.explode(C.subsets("items", 3)).alias("s")).select("basket", F.array_join("s", ",").alias("items"))
+
+
 @query("SELECT doc_id, array_to_string(flatten([string_split(source, '-'), [lang]]), ',') AS parts FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
 def op_flatten(spark, d):
     return V.table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.array_join(F.flatten(F.array(F.split("source", "-"), F.array("lang"))), ",").alias("parts"))
