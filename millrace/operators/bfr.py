@@ -191,6 +191,13 @@ class Rounds:
                 whole = whole.unionByName(m)
             self.cs_members = [written(whole.join(names, "label").select("id", F.col("into").alias("label")))]
 
+    def outside(self, points: DataFrame) -> DataFrame:
+        """(id, x) of the points that are in no discard set. Null points are left out."""
+        out = points.where("id IS NOT NULL AND x IS NOT NULL").select("id", "x")
+        for held in self.ds_members:
+            out = out.join(held.select("id"), "id", "left_anti")
+        return out
+
     def labels(self) -> DataFrame:
         """(id, label): of discard sets their cluster, of compression sets that of the nearest discard set within the limit, of all other points -1."""
         out = None

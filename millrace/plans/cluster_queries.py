@@ -8,6 +8,7 @@ from millrace.functions import columns as C
 from millrace.operators import bfr, metrics
 from millrace.plans import views as V
 from millrace.plans.registry import query
+from millrace.sources.scratch import written
 
 DIMS, CHUNKS, K = V.DIMS, 5, 8
 #: A limit that turns some points away.
@@ -136,7 +137,12 @@ def op_bfr_seed(spark, d):
 
 @query()
 def op_bfr_residual(spark, d):
-    labelled = bfr.kmeans(V.points(spark, d).select("id", "x").where("id % 3 = 0"), 5 * K, 1)
+    """All points that are in no discard set after the first round, here of all points, whether left out of its sample or of the largest clusters."""
+    points = V.points(spark, d).select("id", "x")
+    state = bfr.Rounds(spark, K, DIMS)
+    state.add(points)
+    rest = written(state.outside(points))
+    labelled = written(bfr.kmeans(rest, min(5 * K, max(1, rest.count())), 1))
     sizes = labelled.groupBy("label").agg(F.count("*").alias("n"))
     return labelled.join(F.broadcast(sizes), "label").select("id", "label", F.when(F.col("n") == 1, "RS").otherwise("CS").alias("kind"))
 
@@ -150,7 +156,9 @@ def op_bfr_merge_cs(spark, d):
 
 @query()
 def op_bfr_recluster_rs(spark, d):
-    rs = V.points(spark, d).select("id", "x").where("id % 7 = 0")
+    """The points that the rounds retain, clustered once more."""
+    state = _rounds(spark, d)
+    rs = state.rs if state.rs is not None else V.points(spark, d).select("id", "x").limit(0)
     labelled = bfr.kmeans(rs, min(5 * K, max(1, rs.count())), 1)
     return labelled.groupBy("label").agg(F.count("*").alias("n"))
 

@@ -2,7 +2,8 @@
 
 import itertools
 
-from millrace.plans import catalogue
+from millrace.operators import bfr
+from millrace.plans import catalogue, cluster_queries
 from millrace.plans import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,20 @@ def test_triples_of_every_basket(spark):
     want = sorted((k, ",".join(s)) for k, v in groups.items() for s in itertools.combinations(sorted(v), 3))
     assert sorted((r.basket, r["items"]) for r in catalogue.QUERIES["op_combinations_all"](spark, SF).collect()) == want
     assert max(map(len, groups.values())) > 4
+
+
+def test_residual_points_are_all_outside_the_discard_sets(spark):
+    points = V.points(spark, SF).select("id", "x")
+    state = bfr.Rounds(spark, cluster_queries.K, cluster_queries.DIMS)
+    state.add(points)
+    held = {r.id for m in state.ds_members for r in m.collect()}
+    rows = catalogue.QUERIES["op_bfr_residual"](spark, SF).collect()
+    assert sorted(r.id for r in rows) == sorted({r.id for r in points.collect()} - held) and held
+    sizes = grouped((r.label, r.id) for r in rows)
+    assert all((r.kind == "RS") == (len(sizes[r.label]) == 1) for r in rows)
+
+
+def test_retained_points_are_those_of_the_rounds(spark):
+    retained = cluster_queries._rounds(spark, SF).rs.count()
+    rows = catalogue.QUERIES["op_bfr_recluster_rs"](spark, SF).collect()
+    assert sum(r.n for r in rows) == retained > 1 and len(rows) <= min(5 * cluster_queries.K, retained)
