@@ -76,6 +76,47 @@ def op_son_pass2(spark, d):
     return shown(itemsets.counted_candidates(rows, itemsets.local_candidates(rows, SUPPORT, PARTS, 2), SUPPORT))
 
 
+MOST = 6
+
+
+def _level(table: str, size: int, least: int, part: str = "") -> str:
+    """SQL of the sets of one size, of each part if there are any."""
+    items = [f"x{i}.item" for i in range(size)]
+    joins = "".join(f" JOIN {table} x{i} ON x{i - 1}.basket = x{i}.basket AND x{i - 1}.item < x{i}.item" for i in range(1, size))
+    return f"SELECT {" || ',' || ".join(items)} AS items, {size} AS size, count(*) AS n FROM {table} x0{joins} GROUP BY {part}{', '.join(items)} HAVING count(*) >= {least}"
+
+
+SETS_SIX = f"sets AS ({' UNION ALL '.join(_level('baskets', n, SUPPORT) for n in range(1, MOST + 1))})"
+LOCAL_SIX = f"candidates AS ({' UNION ALL '.join(_level('parted', n, _LOCAL, 'x0.part, ') for n in range(1, MOST + 1))})"
+
+
+@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets")
+def op_frequent_itemsets_six(spark, d):
+    return shown(itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, MOST))
+
+
+@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets")
+def op_frequent_itemsets_fp_six(spark, d):
+    return shown(itemsets.frequent_itemsets_fp(V.order_baskets(spark, d), SUPPORT, MOST))
+
+
+@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets ORDER BY size, items")
+def op_itemset_order_six(spark, d):
+    found = itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, MOST)
+    return shown(found.orderBy(F.size("items"), "items"))
+
+
+@query(f"{V.with_(V.ORDER_BASKETS, _PARTED, LOCAL_SIX)} SELECT DISTINCT items FROM candidates")
+def op_son_pass1_six(spark, d):
+    return itemsets.local_candidates(V.order_baskets(spark, d), SUPPORT, PARTS, MOST).select(F.array_join("items", ",").alias("items"))
+
+
+@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets")
+def op_son_pass2_six(spark, d):
+    rows = V.order_baskets(spark, d)
+    return shown(itemsets.counted_candidates(rows, itemsets.local_candidates(rows, SUPPORT, PARTS, MOST), SUPPORT))
+
+
 @query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT basket, item FROM baskets WHERE item IN (SELECT item FROM singles)")
 def op_semi_membership(spark, d):
     rows = V.order_baskets(spark, d)

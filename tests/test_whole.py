@@ -1,9 +1,10 @@
 """Queries over all groups and all points against plain Python."""
 
 import itertools
+from collections import Counter
 
 from millrace.operators import bfr
-from millrace.plans import catalogue, cluster_queries
+from millrace.plans import catalogue, cluster_queries, itemset_queries
 from millrace.plans import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,11 @@ def test_retained_points_are_those_of_the_rounds(spark):
     retained = cluster_queries._rounds(spark, SF).rs.count()
     rows = catalogue.QUERIES["op_bfr_recluster_rs"](spark, SF).collect()
     assert sum(r.n for r in rows) == retained > 1 and len(rows) <= min(5 * cluster_queries.K, retained)
+
+
+def test_two_passes_find_sets_beyond_pairs(spark):
+    groups = grouped((r.basket, r.item) for r in V.order_baskets(spark, SF).collect())
+    counts = Counter(s for v in groups.values() for n in range(1, 7) for s in itertools.combinations(sorted(v), n))
+    want = {",".join(s): n for s, n in counts.items() if n >= itemset_queries.SUPPORT}
+    assert {r["items"]: r.n for r in catalogue.QUERIES["op_son_pass2_six"](spark, SF).collect()} == want
+    assert len(want) > catalogue.QUERIES["op_son_pass2"](spark, SF).count()
