@@ -1,11 +1,8 @@
-"""What the operators of this folder share: words, hashes, scratch tables in the shared folder, bounded broadcasts."""
+"""What the operators of this folder share: words, hashes, functions over Arrow batches, bounded broadcasts."""
 
 from __future__ import annotations
 
-import gc
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +12,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
+
+from millrace.sources.scratch import dropped, swept, written  # noqa: F401
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space.
@@ -30,7 +30,7 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 def blob(column: str = "text"):
     """The UTF-8 bytes of a text column; null stays null."""
-    return F.col(column).cast("binary").alias(column)
+    return F.col(named(column)).cast("binary").alias(column)
 
 
 def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -49,34 +49,46 @@ def parts(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa
                 yield batch.slice(low, high - low)
 
 
-def batched(df: DataFrame) -> DataFrame:
-    """df, whose session sends 1,000 rows at once to Python where it has Spark's 10,000: executors hold batches of whole texts outside their heap."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, "1000")
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """For a session of its own, such as that of a query or a pipeline: sends 1,000 rows at once to Python where it has Spark's 10,000, as executors hold batches of whole texts outside their heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def named(column: str) -> str:
+    """A column's name as SQL writes it, whatever characters it has."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def in_arrow(df: DataFrame, schema: StructType, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow, where columns on the way go by their places, as it takes no names with dots or backticks."""
+    places = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, places).toDF(*schema.names)
 
 
-def arrow_map(df: DataFrame, schema: str, function: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """mapInArrow for a function from a batch's columns, as lists, to the output's columns."""
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+def arrow_map(df: DataFrame, schema: str | StructType, function: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
+    """A DataFrame of this schema, for a function from a batch's columns, as lists, to the output's columns."""
+    schema, names = StructType.fromDDL(schema) if isinstance(schema, str) else schema, df.columns
+    arrow = to_arrow_schema(StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            out = function({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in arrow], schema=arrow)
+            out = function({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
+            yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := out[n], pa.Array) else pa.array(v, f.type) for n, f in zip(schema.names, arrow, strict=True)], schema=arrow)
 
-    return batched(df).mapInArrow(run, schema)
+    return in_arrow(df, schema, run)
 
 
 def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """Rows of df, with all its columns, for which keep() says so of the values of one column."""
+    at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            yield batch.filter(pa.array(keep(batch.column(column).to_pylist()), pa.bool_()))
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
-    return batched(df).mapInArrow(run, df.schema)
+    return in_arrow(df, df.schema, run)
 
 
 def shared(spark: SparkSession, value) -> Callable:
@@ -91,43 +103,23 @@ def shared(spark: SparkSession, value) -> Callable:
     return get
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and lost executors cannot take it with them."""
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the tables of written(), and has Spark delete the shuffle files of finished stages, which it does when the driver collects its garbage."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+def few_ids(ids: DataFrame, key: str, most: int) -> bool:
+    """Whether a written table has up to `most` keys, which are up to 8 * `most` bytes in all."""
+    if dict(ids.dtypes)[key] not in ("string", "binary"):
+        return ids.limit(most + 1).count() <= most
+    row = ids.limit(most + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(named(key))).alias("size")).first()
+    return row["n"] <= most and (row["size"] or 0) <= 8 * most
 
 
 def restricted(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose key is in ids (distinct, in a written table). The ids are counted; up to `most` are broadcast, more are joined by a shuffle."""
-    few = ids.limit(most + 1).count() <= most
+    few = few_ids(ids, key, most)
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
 def excluded(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose key is not in ids; otherwise as restricted()."""
-    few = ids.limit(most + 1).count() <= most
+    few = few_ids(ids, key, most)
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 

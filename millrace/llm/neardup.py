@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, arrow_map, blob, chunks, dropped, excluded, mix64, restricted, word_hashes, written
+from millrace.llm.common import LOWER, arrow_map, blob, chunks, dropped, excluded, mix64, named, restricted, swept, word_hashes, written
 
 ROWS = 6
 
@@ -98,7 +98,7 @@ def sketched(documents: DataFrame, width: int, percent: int, id_col: str, text_c
             bands += [x if k else None for k, x in zip(sizes, hashed, strict=True)]
         return {"id": batch["id"], "n": n, "print": prints, "bands": bands}
 
-    return arrow_map(documents.select(F.col(id_col).alias("id"), blob(text_col).alias("text")), f"id {dict(documents.dtypes)[id_col]}, n bigint, print binary, bands array<bigint>", run)
+    return arrow_map(documents.select(F.col(named(id_col)).alias("id"), blob(text_col).alias("text")), f"id {dict(documents.dtypes)[id_col]}, n bigint, print binary, bands array<bigint>", run)
 
 
 def with_sets(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -111,7 +111,7 @@ def with_sets(documents: DataFrame, width: int, id_col: str, text_col: str) -> D
             sets.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64))))
         return {"id": batch["id"], "set": pa.concat_arrays(sets) if sets else []}
 
-    return arrow_map(documents.select(F.col(id_col).alias("id"), blob(text_col).alias("text")), f"id {dict(documents.dtypes)[id_col]}, set array<bigint>", run)
+    return arrow_map(documents.select(F.col(named(id_col)).alias("id"), blob(text_col).alias("text")), f"id {dict(documents.dtypes)[id_col]}, set array<bigint>", run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,6 +180,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     shared = written(banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot"))
     members = written(banded.join(shared, "band"))
     dropped(banded)
+    swept(documents.sparkSession)
     stars = written(members.where("pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     ids = written(members.select(F.col("rep").alias(id_col)).distinct())
     sets = written(with_sets(restricted(documents, ids, id_col), width, id_col, text_col).dropDuplicates())
@@ -199,6 +200,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         every = once.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))).distinct()
         once = written(every.join(joined, "component", "left").groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component")))
     dropped(members, shared, stars, ids, sets, links, placed, apart, mixed)
+    swept(documents.sparkSession)
     # The representative's component, by set; then rows with one id take the least of theirs.
     roots = first.join(once.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("root"))
     out = base.select("id", "n", "print").join(roots, "print", "left").select("id", "n", F.coalesce("root", "id").alias("component"))
@@ -224,13 +226,22 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """documents without those that near_duplicates() does not keep, and with one row of each kept id that is repeated. Rows without words, and rows of a null id, all stay."""
-    found = written(near_duplicates(documents, id_col, text_col, width, percent).where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).select(id_col, "kept"))
+    """documents without those that near_duplicates() does not keep.
+
+    Rows without words, and rows of a null id, all stay. Of a kept id that has several rows, each text that is no near copy of another of its texts
+    stays once: of near copies the one of the smallest hash, of rows of one text the first by the JSON of all its columns.
+    """
+    found = written(near_duplicates(documents, id_col, text_col, width, percent).where(F.col(named(id_col)).isNotNull() & (F.col("n_shingles") > 0)).select(id_col, "kept"))
     gone = written(found.where("NOT kept").select(id_col).distinct())
     repeated = written(found.where("kept").groupBy(id_col).count().where("count > 1").select(id_col))
-    out = excluded(documents, gone, id_col)
+    dropped(found)
+    out, columns = excluded(documents, gone, id_col), [F.col(named(c)) for c in documents.columns]
     if repeated.limit(1).count():
-        wordy = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]", "") != ""
-        again = restricted(out.where(wordy), repeated, id_col).dropDuplicates([id_col])
-        out = excluded(out, repeated, id_col).unionByName(restricted(out.where(~wordy), repeated, id_col)).unionByName(again)
-    return out.select(documents.columns)
+        wordy = F.regexp_replace(F.coalesce(F.col(named(text_col)), F.lit("")), r"[\x20\x09-\x0D]", "") != ""
+        row = F.struct(*columns)
+        again = restricted(out.where(wordy), repeated, id_col).select(F.struct(F.col(named(id_col)).alias("id"), F.xxhash64(F.col(named(text_col))).alias("h")).alias("key"), F.col(named(text_col)).alias("text"), row.alias("row"))
+        again = written(again.groupBy("key").agg(F.min_by("text", F.to_json("row")).alias("text"), F.min_by("row", F.to_json("row")).alias("row")))
+        kept = near_duplicates(again.select("key", "text"), "key", "text", width, percent).where("kept").select("key")
+        chosen = again.join(kept, "key", "left_semi").select("row.*")
+        out = excluded(out, repeated, id_col).select(*columns).unionByName(restricted(out.where(~wordy), repeated, id_col).select(*columns)).unionByName(chosen)
+    return out.select(*columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, blob, chunks, dropped, excluded, mix64, powers, restricted, word_hashes, written
+from millrace.llm.common import arrow_map, blob, chunks, dropped, excluded, mix64, named, powers, restricted, swept, word_hashes, written
 
 LEVELS = 6
 #: Windows of a run.
@@ -120,7 +120,7 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     what other ids have. An empty table gives an empty result; other columns are ignored.
     """
     kind, step = dict(documents.dtypes)[id_col], min(STEP, width)
-    source = documents.select(F.col(id_col).alias("id"), blob(text_col).alias("text"))
+    source = documents.select(F.col(named(id_col)).alias("id"), blob(text_col).alias("text"))
 
     def count(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"id": batch["id"], "n": [], "sha": [], "copy": []}
@@ -156,6 +156,7 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     # A document's own anchors, no more than its words.
     shared = written(restricted(heard, several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     dropped(heard, several)
+    swept(documents.sparkSession)
     near = restricted(rest, written(shared.select("id")), "id").join(shared, "id")
 
     def compare(batch: dict[str, list]) -> dict[str, list]:
@@ -193,6 +194,7 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     across = written(found.groupBy("core").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("core"))
     alike = written(restricted(found, across, "core"))
     dropped(found, across)
+    swept(documents.sparkSession)
     # Of equal runs, all but those of the smallest id go as a whole; what matches a window of one of them matches the smallest one's.
     heads = written(alike.groupBy("core", "run").agg(F.min("id").alias("head")))
     settled = alike.select("id", "copy", "core", "run", "at", F.size("hashes").alias("n")).join(heads, ["core", "run"]).where("head < id").select("id", "copy", "at", "n")
@@ -205,6 +207,7 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     # Ranges of a document's own windows, no more than its words.
     covered = written(settled.unionByName(single).groupBy("id", "copy").agg(F.collect_list(F.struct("at", "n")).alias("ranges")))
     dropped(alike, heads, several, firsts, windows, least)
+    swept(documents.sparkSession)
     hit = restricted(source, written(covered.select("id").distinct()), "id")
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
