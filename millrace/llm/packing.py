@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import base64
 import json
+import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 
@@ -16,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, written
+from millrace.llm.common import arrow_map, named, written
 
 ROOM = 2048
 #: Pieces of one length are ranked in this many groups or more, so that a common length is no single task's.
 GROUPS = 256
+#: Characters of white space in a row, from which on the named tokenizer is used.
+LONG_SPACE = 20_000
+_SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 def pieces(n: int, room: int) -> list[tuple[int, int]]:
@@ -115,30 +120,59 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
-def tokenized(documents: DataFrame, path: str, id_col: str, text_col: str, room: int, end: int) -> DataFrame:
-    """A row for each piece of each document. path: the ranks file of the vocabulary, which is on every machine; the JSON of the same name has its added tokens."""
-    from public_tokenizers import PATTERN
+class Encoder:
+    """Ids of texts by the tokenizer in a JSON file, without special tokens around them.
 
-    special = added_tokens(path.removesuffix(".tiktoken") + ".json")
+    The ranks file of the same vocabulary beside it, if there is one, gives the same ids several times faster. Its pattern looks ahead after white
+    space, one level of the C stack for each character, so texts with long stretches of that go to the named tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        base = path.removesuffix(".json").removesuffix(".tiktoken")
+        self.path, self.named, self.fast = f"{base}.json", None, None
+        ranks = f"{base}.tiktoken"
+        if os.path.exists(ranks):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=table, special_tokens=added_tokens(self.path))
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast and (len(text) < LONG_SPACE or not _SPACES.search(text)):
+            return self.fast.encode(text, allowed_special="all")
+        if self.named is None:
+            from tokenizers import Tokenizer
+
+            self.named = Tokenizer.from_file(self.path)
+        return self.named.encode(text, add_special_tokens=False).ids
+
+
+def tokenizer_path() -> str:
+    """Where this machine, the driver's or an executor's, has the tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def tokenized(documents: DataFrame, path: str | None, id_col: str, text_col: str, room: int, end: int) -> DataFrame:
+    """A row for each piece of each document. path: the tokenizer's JSON (or its ranks file) on every machine; None: where the installed package of each machine has it."""
     kind = dict(documents.dtypes)[id_col]
-    made: list = []
+    made: list[Encoder] = []
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        import tiktoken
-
         if not made:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            made.append(tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special))
+            made.append(Encoder(path or tokenizer_path()))
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
         for id_, text in zip(batch["id"], batch["text"], strict=True):
-            ids = np.array([*made[0].encode(text or "", allowed_special="all"), end], "<u4")
+            ids = np.array([*made[0].ids(text or ""), end], "<u4")
             for p, (s, n) in enumerate(pieces(len(ids), room)):
                 for k, v in (("id", id_), ("piece", p), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(ids[s : s + n]))):
                     out[k].append(v)
         return out
 
-    return arrow_map(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", run)
+    return arrow_map(documents.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text")), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", run)
 
 
 def packed(documents: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, end: int = 0) -> DataFrame:
@@ -146,10 +180,8 @@ def packed(documents: DataFrame, path: str | None = None, id_col: str = "doc_id"
 
     Repeated rows are packed each; ties of length are ranked in any order that the tables keep; an empty table gives an empty result.
     """
-    import public_tokenizers
-
     spark = documents.sparkSession
-    table = written(tokenized(documents, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), id_col, text_col, room, end))
+    table = written(tokenized(documents, path, id_col, text_col, room, end))
     rows = table.count()
     groups = max(GROUPS, rows // 200_000)
     grouped = table.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
