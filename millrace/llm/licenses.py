@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, blob, plain_words
+from millrace.llm.common import arrow_map, blob, named, plain_words
 
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Other notices: normalised words and label.
@@ -28,7 +30,9 @@ IDENTIFIERS = {"apache-2.0": "apache-2", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3",
 PERMISSION = {"mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "public-domain": 1.0, "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.5, "gpl-2": 0.5, "gpl-3": 0.5, "agpl": 0.4, "cc-by-nd": 0.3, "cc-by-nc": 0.1, "all-rights-reserved": 0.0}
 STRENGTH = {"base": 0.9, "notice": 0.8, "tag": 0.99}
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:-]*[A-Za-z0-9+])")
+#: Of one line. What follows a tag is read only as far as an expression goes.
+TOKEN = re.compile(rb"[^\S\n]*([()]|[A-Za-z0-9.+:-]*[A-Za-z0-9+])")
+ASSIGN = re.compile(rb"[^\S\n]*[:=]")
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
@@ -37,19 +41,20 @@ def label_of(identifier: str) -> str:
     return IDENTIFIERS.get(x, x)
 
 
-def tokens(line: str) -> list[str]:
-    out, at = [], 0
-    while m := TOKEN.match(line, at):
-        out.append(m[1].upper() if m[1].upper() in PRECEDENCE else m[1])
+def tokens(text: bytes | str, at: int = 0) -> Iterator[str]:
+    """The words and brackets that follow in a line."""
+    text = text.encode() if isinstance(text, str) else text
+    while m := TOKEN.match(text, at):
+        word = m[1].decode()
+        yield word.upper() if word.upper() in PRECEDENCE else word
         at = m.end()
-    return out
 
 
-def postfix(words: list[str]) -> list[str]:
-    """Shunting yard: the longest valid expression that the words begin with, in postfix order; [] if there is none."""
+def postfix(words: Iterable[str]) -> list[str]:
+    """Shunting yard: the longest valid expression that the words begin with, in postfix order; [] if there is none. No more words are taken than that needs."""
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] = []
+    best: tuple[int, list[str]] = (0, [])  # so much of out, and the operators that end it
     operand = True  # an operand must follow
     depth = 0
     for w in words:
@@ -72,8 +77,13 @@ def postfix(words: list[str]) -> list[str]:
         else:
             break
         if not operand and not depth:
-            best = out + [x for x in reversed(stack)]
-    return best
+            best = len(out), stack[::-1]
+    return out[: best[0]] + best[1]
+
+
+def exceptions(expression: list[str]) -> list[str]:
+    """What stands after `with` in a postfix expression, sorted."""
+    return sorted({b for b, w in pairwise(expression) if w == "WITH"})
 
 
 def evaluate(expression: list[str]) -> tuple[set[str], float | None]:
@@ -82,7 +92,12 @@ def evaluate(expression: list[str]) -> tuple[set[str], float | None]:
     for w in expression:
         if w in PRECEDENCE:
             (b, y), (a, x) = stack.pop(), stack.pop()
-            stack.append((a, x) if w == "WITH" else (a | b, max(x, y) if w == "OR" else min(x, y)))
+            if w != "WITH":
+                if len(a) < len(b):
+                    a, b = b, a
+                a |= b
+                x = max(x, y) if w == "OR" else min(x, y)
+            stack.append((a, x))
         else:
             k = label_of(w)
             stack.append(({k}, PERMISSION.get(k, 0.3)))
@@ -102,7 +117,7 @@ def automaton() -> ahocorasick.Automaton:
 def scan(matcher: ahocorasick.Automaton, text: bytes | None) -> dict:
     """All that op7 returns of one text, and the expressions with their permission."""
     words = plain_words(text)
-    out: dict = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "permission": None, "expressions": []}
+    out: dict = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "permission": None, "expressions": [], "exceptions": []}
     found = list(matcher.iter(" " + b" ".join(words).decode("latin-1") + " ")) if words else []
     if not found:
         return out
@@ -114,12 +129,13 @@ def scan(matcher: ahocorasick.Automaton, text: bytes | None) -> dict:
         for kind, label in values:
             if kind == "tag":
                 spans = spans or [m.span() for m in WORD.finditer(text)]
-                line = text[spans[first + n - 1][1] :].split(b"\n", 1)[0].decode("utf-8", "replace").lstrip()
-                expression = postfix(tokens(line[1:])) if line[:1] in (":", "=") else []
+                assign = ASSIGN.match(text, spans[first + n - 1][1])
+                expression = postfix(tokens(text, assign.end())) if assign else []
                 names, permission = evaluate(expression)
                 if not names:
                     continue
                 out["expressions"].append(" ".join(expression))
+                out["exceptions"] += exceptions(expression)
                 permissions.append(permission)
                 labels |= names
             else:
@@ -136,15 +152,17 @@ def scan(matcher: ahocorasick.Automaton, text: bytes | None) -> dict:
 
 def licensed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of documents: counts and places of base phrases, labels, score (how surely a licence is stated), permission (the least
-    of all that is stated) and parsed expressions in postfix order. Null and empty texts have no words and score 0; other columns are ignored."""
+    of all that is stated), parsed expressions in postfix order and the exceptions that they name after `with`. Identifiers that no table knows are labels
+    as they stand. Null and empty texts have no words and score 0; repeated rows give a row each; an empty table gives an empty result; other columns
+    are ignored."""
     matcher = documents.sparkSession.sparkContext.broadcast(automaton())
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         rows = [scan(matcher.value, t) for t in batch["text"]]
-        return {"id": batch["id"]} | {k: [r[k] for r in rows] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permission", "expressions")}
+        return {"id": batch["id"]} | {k: [r[k] for r in rows] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permission", "expressions", "exceptions")}
 
-    schema = f"id {dict(documents.dtypes)[id_col]}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, permission double, expressions array<string>"
-    return arrow_map(documents.select(F.col(id_col).alias("id"), blob(text_col).alias("text")), schema, run).withColumnRenamed("id", id_col)
+    schema = f"id {dict(documents.dtypes)[id_col]}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, permission double, expressions array<string>, exceptions array<string>"
+    return arrow_map(documents.select(F.col(named(id_col)).alias("id"), blob(text_col).alias("text")), schema, run).withColumnRenamed("id", id_col)
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
