@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, shared
+from millrace.llm.common import arrow_map, named, shared
 from millrace.llm.pii_table import ROWS
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -28,7 +28,8 @@ PLACES = 1 << 17
 _LEFT = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only begin where a run of digits does, as the pattern takes each run whole; so other places are not tried, and no digit is given back.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\S+")
@@ -385,7 +386,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """A row for each row of documents: n_email, n_ip, n_card, n_phone, base_sha256 and spans. Null is empty; empty texts have no spans; other columns are ignored."""
+    """A row for each row of documents: n_email, n_ip, n_card, n_phone, base_sha256 and spans. Null is empty; empty texts have no spans; repeated rows give a row each; an empty table gives an empty result; other columns are ignored."""
     given = shared(documents.sparkSession, field or Field())
     made: list[Finder] = []
 
@@ -401,11 +402,11 @@ def personal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     schema = f"id {dict(documents.dtypes)[id_col]}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
-    return arrow_map(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), schema, run).withColumnRenamed("id", id_col)
+    return arrow_map(documents.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text")), schema, run).withColumnRenamed("id", id_col)
 
 
 def redacted(documents: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """documents, where each span of the text is replaced by its kind in angle brackets; overlapping spans become one of the first kind. Null stays null, texts without spans stay as they are; all columns are kept."""
+    """documents, where each span of the text is replaced by its kind in angle brackets; overlapping spans become one of the first kind. Null stays null, texts without spans stay as they are; all rows, repeated ones too, and all columns are kept; an empty table stays empty."""
     given = shared(documents.sparkSession, field or Field())
     made: list[Finder] = []
 
@@ -425,7 +426,7 @@ def redacted(documents: DataFrame, text_col: str = "text", field: Field | None =
         found = made[0].find(batch[text_col])
         return batch | {text_col: [clean(t, s) for t, (_, s) in zip(batch[text_col], found, strict=True)]}
 
-    return arrow_map(documents, ", ".join(f"`{k}` {v}" for k, v in documents.dtypes), run)
+    return arrow_map(documents, documents.schema, run)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
