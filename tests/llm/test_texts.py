@@ -416,3 +416,71 @@ def test_empty_text_columns_stay_defined(spark):
     assert {r.n_words for r in licenses.licensed(docs).collect()} == {0}
     assert {r.n_bytes for r in media.media_features(docs).collect()} == {0}
     assert packing.packed(docs).agg(F.max("length")).first()[0] == 1
+
+
+@pytest.mark.parametrize(
+    ("name", "tag", "in_article", "want"),
+    [("ad", "div", False, "outside"), ("top-ad-box", "div", True, "outside"), ("adBox", "div", False, "outside"), ("cookie-notice", "div", True, "outside"), ("notice-period", "p", True, ""), ("share-price", "div", True, ""), ("post-header", "div", False, ""), ("header", "div", True, ""), ("site-header", "div", False, "outside"),
+     ("main-menu", "ul", True, "outside"), ("sidebar-left", "div", False, "outside"), ("no-sidebar", "div", False, ""), ("comments-area", "section", True, "comments"), ("comment", "article", True, "comments"), ("shadow", "div", False, ""), ("reading", "p", True, ""), ("footer-links", "div", True, "outside"), ("post-content", "div", False, "")],
+)
+def test_names_of_elements(name, tag, in_article, want):
+    assert html.names(tag, {"class": f"x {name}"}, in_article) == want == html.names(tag, {"id": name}, in_article)
+
+
+def built(r, words):
+    """A random page, and the text of its article."""
+    text, parts = [], []
+
+    def drawn(n):
+        return " ".join(r.choices(words, k=n))
+
+    def escaped(x):
+        return x.replace("&", "&amp;").replace("<", "&lt;")
+
+    def some(n):
+        return escaped(drawn(n))
+
+    def told(n):
+        text.append(drawn(n))
+        return escaped(text[-1])
+
+    parts.append(f"<h1>{told(6)}</h1>")
+    for _ in range(r.randrange(3, 9)):
+        kind = r.randrange(5)
+        if kind == 0:
+            parts.append(f"<section><h2>{told(4)}</h2><p>{told(30)}</p></section>")
+        elif kind == 1:
+            parts.append(f"<ul><li>{told(9)}<li>{told(8)}</ul>")
+        elif kind == 2:
+            parts.append(f"<blockquote class='pull-quote'><p>{told(25)}</blockquote>")
+        elif kind == 3:
+            a, b = drawn(12), drawn(10)
+            text.append(f"{a} {b}")
+            parts.append(f"<p>{escaped(a)} <b>{escaped(b)}</b>")
+        else:
+            parts.append(f"<p>{told(35)}</p>")
+        parts.append(r.choice(["", f"<div class='ad-slot'>{some(8)}</div>", "<!-- x --><script>var p = '<p>no</p>';</script>", f"<aside><p>{some(20)}</p></aside>", f"<form><p>{some(5)}</p><input value='x'></form>", "\n  "]))
+    top = f"<header><p>{some(4)}</p></header><nav><ul>" + "".join(f"<li><a href='/{k}'>{some(2)}</a></li>" for k in range(6)) + f"</ul></nav><div class='cookie-notice'><p>{some(40)}</p></div>"
+    end = f"<div class='comment-list'><article class='comment'><p>{some(60)}</p></article></div><footer><p>{some(20)}</p></footer>"
+    side = f"<div class='sidebar'><h3>{some(3)}</h3><p>{some(50)}</p></div>"
+    around = r.choice(["<article>{}</article>", "<main><article class='post'>{}</article></main>", "<div class='entry-content'>{}</div>", "<form action='/'><div id='main'><article>{}</article></div></form>"])
+    return f"<!doctype html><html><head><title>{some(3)}</title></head><body>{top}{side}{around.format(''.join(parts))}{end}</body></html>", "\n\n".join(text)
+
+
+def test_articles_of_built_pages_come_back_whole(spark):
+    r = random.Random(11)
+    words = ["alpha", "beta,", "gamma.", "R&D", "a<b", "é", "naïve", "x&y", "menu", "advert", "comments"]
+    pages = [built(r, words) for _ in range(120)]
+    rows = [(i, f"https://host{i % 7}.example/{i}", p, "clash", 3) for i, (p, _) in enumerate(pages)]
+    got = {x.page_id: x for x in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, `a.b` int")).collect()}
+    for i, (_, text) in enumerate(pages):
+        assert got[i].text == text and got[i].n_chars == len(text)
+
+
+def test_one_host_is_one_vote(spark):
+    long_ = "Words that weigh enough to win the page, and more of them. " * 4
+    good, bad = f"<div class=story><p>{long_}</p></div><div class=x><p>{long_}{long_}</p></div>", f"<div class=story><p>{long_}{long_}</p></div><div class=x><p>{long_}</p></div>"
+    rows = [(i, f"https://u@{'EXAMPLE' if i % 2 else 'example'}.org:80/{i}", good if i == 0 else bad) for i in range(5)] + [(9, "https://İstanbul.example/", good), (10, "https://İstanbul.example/", bad)]
+    got = {r.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i].path for i in range(5)} == {"/div.story"} and got[0].text == long_.strip()
+    assert got[9].path == got[10].path
