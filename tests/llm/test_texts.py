@@ -303,6 +303,62 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted == 0 for r in clean) >= 0.97 * len(clean)
 
 
+def test_scores_equal_dense_votes_and_are_calibrated(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.trained(docs, labels.where(~langid.held_out("doc_id", 5, 0)))
+    # Every vector anew, as plain dictionaries.
+    learnt = {r.doc_id: (r.toxic, r.text) for r in docs.join(labels, "doc_id").where(~langid.held_out("doc_id", 5, 0)).where("toxic IS NOT NULL").select("doc_id", "toxic", "text").collect()}
+
+    def vector(text):
+        w = toxicity.words((text or "").encode())
+        found = [t for x in w for t in toxicity.terms_of(x) if t in model.numbers]
+        v = {t: 100 * found.count(t) / len(w) * model.worth[model.numbers[t]] for t in found}
+        norm = sum(x * x for x in v.values()) + model.weight**2
+        return {t: x / norm**0.5 for t, x in v.items()} | {None: model.weight / norm**0.5}
+
+    groups = {}
+    for key, (y, text) in learnt.items():
+        v = vector(text)
+        g = groups.setdefault(tuple(sorted((str(t), round(x, 9)) for t, x in v.items())), [v, [0, 0], key])
+        g[1][y] += 1
+        g[2] = min(g[2], key)
+    assert len(groups) == len(model.votes)
+    rows = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    for d in docs.where("doc_id % 9 = 0").collect():
+        v = vector(d.text)
+        near = sorted(((sum(x * g[0].get(t, 0) for t, x in v.items()), g[2], g[1]) for g in groups.values()), key=lambda x: -x[0])[: toxicity.NEIGHBOURS]
+        weight = [1 / (1.01 - min(c, 1)) ** 2 for c, _, _ in near]
+        p = (sum(w * n[1] for w, (_, _, n) in zip(weight, near, strict=True)) + model.prior) / (sum(w * sum(n) for w, (_, _, n) in zip(weight, near, strict=True)) + 1)
+        z = model.curve[0] * np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))) + model.curve[1]
+        got = rows[d.doc_id]
+        assert abs(got.score - 1 / (1 + np.exp(-z))) < 1e-3 and np.allclose([e.cosine for e in got.evidence], [c for c, _, _ in near[:3]], atol=1e-9)
+        assert all(e.example in learnt for e in got.evidence)
+    truth = {r.doc_id: r.toxic for r in labels.where(langid.held_out("doc_id", 5, 0)).where("toxic IS NOT NULL").collect()}
+    told = [(rows[k].score, y) for k, y in truth.items() if k in rows]
+    bins = [[(s, y) for s, y in told if min(int(s * 10), 9) == b] for b in range(10)]
+    error = sum(abs(sum(s for s, _ in b) - sum(y for _, y in b)) for b in bins) / len(told)
+    assert error < 0.08
+
+
+def test_rare_telling_terms_are_kept(spark):
+    """Hundreds of telling words, each in one of forty examples: none is left out for the sake of others."""
+    r = random.Random(5)
+    plain = [f"word{k}" for k in range(300)]
+    bad = [f"{a}{b}{c}ugh" for a in "zqx" for b in "aeiou" for c in range(30)]
+    docs, labels = [], []
+    for i in range(6000):
+        y = i % 2
+        text = r.choices(plain, k=20) + (r.choices(bad, k=12) if y else [])
+        docs.append((i, " ".join(text)))
+        labels.append((i, y))
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.trained(table(spark, docs), labels.where("doc_id < 5000"), positive=10**6, negative=10**6)
+    assert all(b.encode() in model.numbers for b in bad) and len(bad) == 450
+    rows = [x for x in toxicity.scored(table(spark, docs), model).collect() if x.doc_id >= 5000]
+    assert sum(x.predicted == x.doc_id % 2 for x in rows) >= 0.99 * len(rows)
+
+
 def test_toxicity_of_odd_inputs(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (99, 1)], "doc_id bigint, toxic int")
     model = toxicity.trained(table(spark, ODD), labels)
