@@ -97,11 +97,23 @@ def test_contamination_without_items_or_documents(spark):
     assert decontaminate.contamination(table(spark, []), none).count() == 0
 
 
-def test_many_automata_give_the_same(spark, monkeypatch):
-    bench, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
-    one = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
-    assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == one
+@pytest.mark.parametrize("common", [0, 1, 2, 64])
+def test_windows_equal_brute_force_for_all_kinds_of_keys(common):
+    r = random.Random(common)
+    for _ in range(400):
+        words = [f"w{k}" for k in range(r.choice([2, 3, 6]))]
+        items = [(str(i), " ".join(r.choices(words, k=r.choice([1, 2, 4, 5, 6, 9, 12, 30])))) for i in range(r.randrange(1, 9))]
+        width = r.choice([1, 2, 3, 4, 5, 10])
+        text = " ".join(r.choices(words, k=r.randrange(60))) + r.choice(["", f" x {r.choice(items)[1]} y"])
+        ranges, found = decontaminate.Matcher([(i, t.encode()) for i, t in items], width, common).scan(decontaminate.plain_words(text.encode()))
+        n, hit, want = brute.contamination(text, items, width)
+        assert sorted(found) == want and sum(b - a for a, b in decontaminate.union(ranges)) == hit, (items, text, width)
+
+
+def test_a_benchmark_too_large_to_send_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="in parts"):
+        decontaminate.clean(table(spark, ODD), spark.read.parquet(f"{SF}/benchmark.parquet"))
 
 
 # Licences
