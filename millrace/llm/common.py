@@ -67,15 +67,16 @@ def in_arrow(df: DataFrame, schema: StructType, run: Callable[[Iterator[pa.Recor
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, places).toDF(*schema.names)
 
 
-def arrow_map(df: DataFrame, schema: str | StructType, function: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """A DataFrame of this schema, for a function from a batch's columns, as lists, to the output's columns."""
+def arrow_map(df: DataFrame, schema: str | StructType, function: Callable[[dict], dict | Iterator[dict]], raw: tuple[str, ...] = ()) -> DataFrame:
+    """A DataFrame of this schema, for a function from a batch's columns, as lists (those of `raw` as Arrow arrays), to the output's columns, at once or in parts."""
     schema, names = StructType.fromDDL(schema) if isinstance(schema, str) else schema, df.columns
     arrow = to_arrow_schema(StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            out = function({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
-            yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := out[n], pa.Array) else pa.array(v, f.type) for n, f in zip(schema.names, arrow, strict=True)], schema=arrow)
+            out = function({n: batch.column(i) if n in raw else batch.column(i).to_pylist() for i, n in enumerate(names)})
+            for part in (out,) if isinstance(out, dict) else out:
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v := part[n], pa.Array) else pa.array(v, f.type) for n, f in zip(schema.names, arrow, strict=True)], schema=arrow)
 
     return in_arrow(df, schema, run)
 

@@ -12,6 +12,9 @@ words are settled as a whole, and only of the first document that has them are t
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,11 @@ from millrace.llm.common import arrow_map, blob, chunks, dropped, excluded, mix6
 LEVELS = 6
 #: Windows of a run.
 STEP = 8
+#: Pairs of a symbol and a window that are looked at together.
+EXPANDED = 1 << 21
+#: Bytes of a text that are read at once; longer texts go in pieces that overlap by all words of a window but one, which have the same windows and anchors.
+LONG = 1 << 21
+_EDGE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _near(values: np.ndarray, inside: np.ndarray, edge: np.ndarray, step: int) -> np.ndarray:
@@ -77,20 +85,26 @@ def anchors(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     best, place = np.full(n, none), np.zeros(n, np.int64)
     for symbols, left, right in reversed(parse(words, at)):
-        todo = np.concatenate([[0], np.cumsum(valid[:n] & (best == none))])
+        open_ = valid[:n] & (best == none)
+        todo = np.concatenate([[0], np.cumsum(open_)])
         if not todo[-1]:
             break
         low, high = np.maximum(right - width, 0), np.minimum(left, n - 1)
         fits = np.flatnonzero((right - left <= width) & (low <= high))
         fits = fits[todo[high[fits] + 1] > todo[low[fits]]]
         low, count = low[fits], (high - low)[fits] + 1
-        starts = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        wanted = valid[starts] & (best[starts] == none)
-        starts = starts[wanted]
-        hashed = np.repeat(mix64(symbols[fits] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(1), count)[wanted]
-        np.minimum.at(best, starts, hashed)
-        least = np.flatnonzero(best[starts] == hashed)[::-1]  # the first occurrence is assigned last
-        place[starts[least]] = np.repeat(left[fits], count)[wanted][least]
+        hashed = mix64(symbols[fits] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(1)
+        # A symbol lies in up to `width` windows; so many are spread out at once as take bounded memory.
+        turn = (np.cumsum(count) - count) // EXPANDED
+        edges = [*changes(turn).tolist(), len(turn)]
+        for a, b in pairwise(edges):
+            starts = np.repeat(low[a:b] - np.cumsum(count[a:b]) + count[a:b], count[a:b]) + np.arange(count[a:b].sum())
+            wanted = open_[starts]
+            starts, value = starts[wanted], np.repeat(hashed[a:b], count[a:b])[wanted]
+            before = best[starts]
+            np.minimum.at(best, starts, value)
+            least = np.flatnonzero((best[starts] == value) & (before > value))[::-1]  # the first occurrence is assigned last
+            place[starts[least]] = np.repeat(left[fits[a:b]], count[a:b])[wanted][least]
     return best[first], np.repeat(np.arange(len(sizes)), windows), first, place[first]
 
 
@@ -108,9 +122,40 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
 
 
-def text_number(words: list[bytes]) -> int:
-    """Tells the texts of one id apart."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+def slices(text: bytes, most: int | None = None) -> Iterator[bytes]:
+    """The text in parts of about `most` bytes that end between words."""
+    most, low = most or LONG, 0
+    while low < len(text):
+        edge = _EDGE.search(text, low + most)
+        high = edge.start() if edge else len(text)
+        yield text[low:high]
+        low = high
+
+
+def read(text: bytes | None) -> tuple[int, bytes, int]:
+    """Number of words, SHA-256 of the words joined by one space, and a number that tells the texts of one id apart."""
+    n, sha, number = 0, hashlib.sha256(), xxhash.xxh3_64()
+    for part in slices(text or b""):
+        if words := part.split():
+            joined = (b" " if n else b"") + b" ".join(words)
+            sha.update(joined)
+            number.update(joined)
+            n += len(words)
+    return n, sha.digest(), number.intdigest() - (1 << 63)
+
+
+def pieces(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(hashes of words, offsets of documents, number of the first document, its words before) for groups of short texts, and for each piece of a long one."""
+    for low, high in chunks(texts):
+        if high - low > 1 or len(texts[low]) <= LONG:
+            yield *word_hashes(texts[low:high]), low, 0
+            continue
+        rest, before = np.zeros(0, np.uint64), 0
+        for part in slices(texts[low]):
+            words = np.concatenate([rest, word_hashes([part])[0]])
+            yield words, np.array([0, len(words)]), low, before
+            keep = min(width - 1, len(words))
+            rest, before = words[len(words) - keep :], before + len(words) - keep
 
 
 def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
@@ -122,14 +167,9 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     kind, step = dict(documents.dtypes)[id_col], min(STEP, width)
     source = documents.select(F.col(named(id_col)).alias("id"), blob(text_col).alias("text"))
 
-    def count(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": batch["id"], "n": [], "sha": [], "copy": []}
-        for text in batch["text"]:
-            words = (text or b"").split()
-            out["n"].append(len(words))
-            out["sha"].append(hashlib.sha256(b" ".join(words)).digest())
-            out["copy"].append(text_number(words))
-        return out
+    def count(batch: dict) -> dict:
+        found = [read(text) for text in batch["text"]]
+        return {"id": batch["id"], "n": [n for n, _, _ in found], "sha": [x for _, x, _ in found], "copy": [x for _, _, x in found]}
 
     base = written(arrow_map(source, f"id {kind}, n bigint, sha binary, copy bigint", count))
     long_ = base.where((F.col("n") >= width) & F.col("id").isNotNull())
@@ -139,19 +179,14 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = written(marked.groupBy("id").agg(F.min("again").alias("again")).where("again").select("id"))
     rest = excluded(source.where("id IS NOT NULL"), copies, "id")
 
-    def find(batch: dict[str, list]) -> dict[str, list]:
-        whose, found = [], []
-        texts = [x or b"" for x in batch["text"]]
-        for low, high in chunks(texts):
-            words, at = word_hashes(texts[low:high])
+    def find(batch: dict) -> Iterator[dict]:
+        for words, at, low, _ in pieces([x or b"" for x in batch["text"]], width):
             anchor, doc, _, _ = anchors(words, at, width)
             order = np.lexsort((anchor, doc))
             new = order[changes(anchor[order], doc[order])]
-            whose.append(doc[new] + low)
-            found.append(anchor[new].view(np.int64))
-        return {"id": pa.array(batch["id"]).take(pa.array(np.concatenate(whose))) if whose else [], "anchor": pa.array(np.concatenate(found)) if whose else []}
+            yield {"id": batch["id"].take(pa.array(doc[new] + low)), "anchor": pa.array(anchor[new].view(np.int64))}
 
-    heard = written(arrow_map(rest, f"id {kind}, anchor bigint", find))
+    heard = written(arrow_map(rest, f"id {kind}, anchor bigint", find, raw=("id",)))
     several = written(heard.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"))
     # A document's own anchors, no more than its words.
     shared = written(restricted(heard, several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
@@ -159,36 +194,38 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     swept(documents.sparkSession)
     near = restricted(rest, written(shared.select("id")), "id").join(shared, "id")
 
-    def compare(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "copy": [], "core": [], "run": [], "at": [], "hashes": []}
-        texts = [x or b"" for x in batch["text"]]
-        for low, high in chunks(texts):
-            words, at = word_hashes(texts[low:high])
+    def compare(batch: dict) -> Iterator[dict]:
+        texts, known = [x or b"" for x in batch["text"]], batch["anchors"]
+        ends = known.offsets.to_numpy()
+        values, last, number = known.values.to_numpy(zero_copy_only=False), -1, 0
+        for words, at, low, before in pieces(texts, width):
             anchor, doc, first, place = anchors(words, at, width)
             line = (place - first) // step
             begin = changes(doc, anchor, place, line)
             end = np.append(begin[1:], len(anchor))
-            bounds = np.searchsorted(doc[begin], np.arange(high - low + 1))
-            held = [np.isin(anchor[begin[a:b]].view(np.int64), np.array(batch["anchors"][low + d], np.int64)) for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            held = np.concatenate(held)
+            bounds = np.searchsorted(doc[begin], np.arange(len(at)))
+            held = np.concatenate([np.isin(anchor[begin[a:b]].view(np.int64), values[ends[low + d] : ends[low + d + 1]]) for d, (a, b) in enumerate(pairwise(bounds))])
             begin, end = begin[held], end[held]
             if not len(begin):
                 continue
             which, core = doc[begin], place[begin] - step * line[begin]
-            copies = {d: text_number(texts[low + d].split()) for d in set(which.tolist())}
+            copies = {}
+            for d in set(which.tolist()):
+                if low + d != last:
+                    last, number = low + d, read(texts[low + d])[2]
+                copies[d] = number
             size = end - begin
             inside = first[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            out["id"] += [batch["id"][low + d] for d in which.tolist()]
-            out["copy"] += [copies[d] for d in which.tolist()]
-            out["core"].append(mix64(range_hashes(words, core, core + width - step + 1, 0xA24BAED4963EE407).view(np.uint64) + anchor[begin] * np.uint64(64) + line[begin].astype(np.uint64)).view(np.int64))
-            out["run"].append(range_hashes(words, first[begin], first[end - 1] + width, 0xE7037ED1A0B428DB))
-            out["at"].append(first[begin] - at[which])
-            out["hashes"].append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(range_hashes(words, inside, inside + width, 0x8CB92BA72F3D8DD7))))
-        if not out["core"]:
-            return dict.fromkeys(out, [])
-        return out | {k: pa.array(np.concatenate(out[k])) for k in ("core", "run", "at")} | {"hashes": pa.concat_arrays(out["hashes"])}
-
-    found = written(arrow_map(near, f"id {kind}, copy bigint, core bigint, run bigint, at bigint, hashes array<bigint>", compare))
+            yield {
+                "id": batch["id"].take(pa.array(which + low)),
+                "copy": [copies[d] for d in which.tolist()],
+                "core": pa.array(mix64(range_hashes(words, core, core + width - step + 1, 0xA24BAED4963EE407).view(np.uint64) + anchor[begin] * np.uint64(64) + line[begin].astype(np.uint64)).view(np.int64)),
+                "run": pa.array(range_hashes(words, first[begin], first[end - 1] + width, 0xE7037ED1A0B428DB)),
+                "at": pa.array(first[begin] - at[which] + before),
+                "hashes": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(range_hashes(words, inside, inside + width, 0x8CB92BA72F3D8DD7))),
+            }
+
+    found = written(arrow_map(near, f"id {kind}, copy bigint, core bigint, run bigint, at bigint, hashes array<bigint>", compare, raw=("id", "anchors")))
     dropped(shared)
     # Each side of the joins below is a written table, so that Spark can split the partitions of frequent keys.
     across = written(found.groupBy("core").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("core"))
@@ -210,24 +247,32 @@ def repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     swept(documents.sparkSession)
     hit = restricted(source, written(covered.select("id").distinct()), "id")
 
-    def cut(batch: dict[str, list]) -> dict[str, list]:
+    def cut(batch: dict) -> dict:
         out: dict[str, list] = {"id": [], "copy": [], "n_removed": [], "kept": []}
-        for id_, text, copy, ranges in zip(batch["id"], batch["text"], batch["copy"], batch["ranges"], strict=True):
-            words = (text or b"").split()
-            if text_number(words) != copy:
+        for i, (id_, text, copy) in enumerate(zip(batch["id"], batch["text"], batch["copy"], strict=True)):
+            n, _, number = read(text)
+            if number != copy:
                 continue  # another row of the same id
-            edge = np.zeros(len(words) + 1, np.int64)
-            starts = np.array([r["at"] for r in ranges], np.int64)
+            ranges = batch["ranges"][i].values
+            edge = np.zeros(n + 1, np.int32)
+            starts = ranges.field("at").to_numpy()
             np.add.at(edge, starts, 1)
-            np.subtract.at(edge, starts + np.array([r["n"] for r in ranges], np.int64) + (width - 1), 1)
-            gone = np.cumsum(edge)[:-1] > 0
+            np.subtract.at(edge, starts + ranges.field("n").to_numpy() + (width - 1), 1)
+            gone, sha, before, kept = np.cumsum(edge)[:-1] > 0, hashlib.sha256(), 0, False
+            for part in slices(text):
+                words = part.split()
+                stay = [w for w, g in zip(words, gone[before : before + len(words)].tolist(), strict=True) if not g]
+                if stay:
+                    sha.update((b" " if kept else b"") + b" ".join(stay))
+                    kept = True
+                before += len(words)
             out["id"].append(id_)
             out["copy"].append(copy)
             out["n_removed"].append(int(gone.sum()))
-            out["kept"].append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)).digest())
+            out["kept"].append(sha.digest())
         return out
 
-    cuts = arrow_map(hit.join(covered, "id"), f"id {kind}, copy bigint, n_removed bigint, kept binary", cut).dropDuplicates(["id", "copy"])
+    cuts = arrow_map(hit.join(covered, "id"), f"id {kind}, copy bigint, n_removed bigint, kept binary", cut, raw=("ranges",)).dropDuplicates(["id", "copy"])
     whole = base.join(first, "sha", "left").withColumn("again", F.coalesce(F.col("id") > F.col("head"), F.lit(False)))
     out = whole.join(cuts, ["id", "copy"], "left").select(
         "id", "n", F.when(F.col("again"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"), F.when(F.col("again"), F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept")

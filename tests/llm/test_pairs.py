@@ -1,9 +1,13 @@
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from brute import near_duplicates as brute_near
 from brute import repeated_words as brute_repeated
 
+from millrace.llm import substring
 from millrace.llm.neardup import near_duplicates, sharing_rare
 from millrace.llm.substring import repeated_words
 
@@ -119,3 +123,32 @@ def test_passages_that_many_documents_share(spark, seed):
         rows.append((1000 - i, " ".join(w)))
     got = repeated_words(table(spark, rows)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeated(rows, 50)
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_long_texts_go_in_pieces(spark, monkeypatch, seed):
+    """Texts of many pieces, and symbols spread out a few at a time, give the same rows."""
+    monkeypatch.setattr(substring, "LONG", 400)
+    monkeypatch.setattr(substring, "EXPANDED", 300)
+    r = random.Random(seed)
+    passages = [[f"p{p}x{k}" for k in range(r.choice([50, 51, 130, 400]))] for p in range(3)] + [["same"] * 300, ["a", "b"] * 140]
+    rows = []
+    for i in range(60):
+        w = [x for _ in range(r.randrange(1, 5)) for x in ([f"u{r.randrange(10**6)}" for _ in range(r.randrange(200))] + r.choice(passages)[r.randrange(30) :])]
+        rows.append((1000 - i, " ".join(w).replace("u1", "\n u1")))
+    got = repeated_words(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_repeated(rows, 50)
+
+
+def test_memory_of_one_repetitive_text():
+    """Of 50 MB of one word, with 1 GB for the process."""
+    code = """
+import resource
+from millrace.llm import substring as s
+resource.setrlimit(resource.RLIMIT_DATA, (1 << 30, 1 << 30))
+text = b"a " * 25_000_000
+n = sum(len(s.anchors(words, at, 50)[0]) for words, at, _, _ in s.pieces([text], 50))
+print(n, s.read(text)[0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), env=os.environ | {"OPENBLAS_NUM_THREADS": "1"}, timeout=600)
+    assert out.stdout.split() == ["24999951", "25000000"], out.stderr
