@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from millrace.sources.scratch import written
 
 #: Edges up to this number are broadcast as adjacency lists for the per-source search (some 100 MB); larger graphs go level by level in joins.
 BROADCAST_EDGES = 500_000
-#: Girvan-Newman takes out one edge after the other; its components of more edges than this are refused.
+#: Girvan-Newman takes out one edge after the other, and the driver puts the components' removals in order: graphs of more edges than this are refused.
 MOST_SPLIT_EDGES = 200_000
 
 
@@ -177,25 +178,21 @@ def modularity(communities: DataFrame, edges: DataFrame, current: DataFrame | No
 
 
 class _Split:
-    """Communities of a graph that loses its heaviest edge again and again. Only the component that lost an edge is searched anew."""
+    """A component of a graph of m edges that loses its heaviest edge again and again. Only the part that lost an edge is searched anew."""
 
-    def __init__(self, pairs: list[tuple]):
-        self.pairs = pairs
+    def __init__(self, pairs: list[tuple], m: int):
+        self.m = m
         self.near = {v: set(n) for v, n in _adjacency(pairs).items()}
-        self.m = len(pairs)
+        self.whole = {v: frozenset(n) for v, n in self.near.items()}
         self.part: dict = {}
         self.members: dict = {}
-        self.value: dict = {}
+        self.heaviest: dict = {}
         self.inner: dict = {}
-        self.first: dict = defaultdict(set)
-        for a, b in pairs:
-            self.first[a].add(b)
-            self.first[b].add(a)
-        todo = sorted(self.near)
+        todo = set(self.near)
         while todo:
-            got = self._reach(todo[0])
-            self._put(got)
-            todo = [v for v in todo if v not in got]
+            found = self._reach(min(todo))
+            self._put(found)
+            todo -= found
 
     def _reach(self, start) -> set:
         seen, stack = {start}, [start]
@@ -215,53 +212,94 @@ class _Split:
         for v in found:
             for edge, x in _credits(near, v).items():
                 total[edge] += x / 2
-        self.value[name] = dict(total)
-        self.inner[name] = sum(len(self.first[v] & found) for v in found) // 2
+        if total:
+            self.heaviest[name] = min((-round(x, 9), e) for e, x in total.items())
+        self.inner[name] = sum(len(self.whole[v] & found) for v in found) // 2
 
     def q(self) -> float:
+        """The component's share of the modularity."""
         return sum(self.inner[n] / self.m - (sum(len(self.near[v]) for v in found) / (2 * self.m)) ** 2 for n, found in self.members.items())
 
-    def cut(self) -> bool:
-        """Takes out the heaviest edge; False if none is left."""
-        best = min(((-round(x, 9), e) for values in self.value.values() for e, x in values.items()), default=None)
-        if best is None:
-            return False
-        a, b = best[1]
+    def next(self) -> tuple | None:
+        """(minus betweenness, edge) of what is taken out next."""
+        return min(self.heaviest.values(), default=None)
+
+    def cut(self) -> None:
+        a, b = self.next()[1]
         self.near[a].discard(b)
         self.near[b].discard(a)
         name = self.part[a]
-        del self.members[name], self.value[name], self.inner[name]
-        got = self._reach(a)
-        self._put(got)
-        if b not in got:
+        for table in (self.members, self.heaviest, self.inner):
+            del table[name]
+        found = self._reach(a)
+        self._put(found)
+        if b not in found:
             self._put(self._reach(b))
-        return True
+
+
+def _best_moment(removals: dict) -> dict:
+    """How many edges each component has lost when the modularity of the whole graph is largest for the first time; removals: for each component (minus betweenness, src, dst, share of q) by step."""
+    at = dict.fromkeys(removals, 0)
+    heads = [(*steps[0][:3], c) for c, steps in removals.items() if steps[0][0] is not None]
+    heapify(heads)
+    q = sum(steps[0][3] for steps in removals.values())
+    best, found = q, dict(at)
+    lost = []  # components since the best moment
+    while heads:
+        c = heappop(heads)[3]
+        q += removals[c][at[c] + 1][3] - removals[c][at[c]][3]
+        at[c] += 1
+        lost.append(c)
+        if q > best + 1e-12:
+            best = q
+            for x in lost:
+                found[x] += 1
+            lost = []
+        value, src, dst, _ = removals[c][at[c]]
+        if value is not None:
+            heappush(heads, (value, src, dst, c))
+    return found
 
 
 def girvan_newman(edges: DataFrame, all_vertices: DataFrame | None = None, most: int = MOST_SPLIT_EDGES) -> DataFrame:
     """(id, community): of all graphs that arise as the heaviest edge is taken out again and again, the components of the first one with the largest
     modularity (edges of the whole graph, degrees of the reduced one). A community is named by its smallest member; vertices without edges are their own.
 
-    The loop is inherently sequential, so the graph is counted first and has to have at most `most` edges; ValueError otherwise.
+    What a component loses, and in which order, does not depend on the others, so components are split in parallel; the driver only puts their removals
+    in order, one row for each edge, and each component is then split again as far as the best moment. The graph is counted first and has to have at
+    most `most` edges; ValueError otherwise.
     """
     plain = written(simple_edges(edges))
     n = plain.count()
     if n > most:
         raise ValueError(f"{n} edges; at most {most} can be split one by one (raise `most`, or use label_propagation)")
     kind = dict(plain.dtypes)["src"]
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = [p for batch in batches for p in zip(batch["src"].tolist(), batch["dst"].tolist(), strict=True)]
-        if not pairs:
-            return
-        graph = _Split(sorted(pairs))
-        best, found = graph.q(), dict(graph.part)
-        while graph.cut():
-            if (q := graph.q()) > best + 1e-12:
-                best, found = q, dict(graph.part)
-        yield pd.DataFrame({"id": list(found), "community": list(found.values())})
-
-    out = plain.coalesce(1).mapInPandas(split, f"id {kind}, community {kind}")
+    part = plain.join(components(plain).select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst")
+
+    def pairs(pdf: pd.DataFrame) -> list[tuple]:
+        return sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
+
+    def lose(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph, rows = _Split(pairs(pdf), n), []
+        while True:
+            head = graph.next()
+            rows.append((pdf["component"].iloc[0], len(rows), *((head[0], *head[1]) if head else (None, None, None)), graph.q()))
+            if not head:
+                return pd.DataFrame(rows, columns=["component", "step", "value", "src", "dst", "q"])
+            graph.cut()
+
+    removals: dict = defaultdict(list)
+    for r in part.groupBy("component").applyInPandas(lose, f"component {kind}, step bigint, value double, src {kind}, dst {kind}, q double").orderBy("component", "step").toLocalIterator():
+        removals[r.component].append((r.value, r.src, r.dst, r.q))
+    moments = plain.sparkSession.createDataFrame(list(_best_moment(removals).items()), f"component {kind}, lost bigint")
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = _Split(pairs(pdf), n)
+        for _ in range(int(pdf["lost"].iloc[0])):
+            graph.cut()
+        return pd.DataFrame({"id": list(graph.part), "community": list(graph.part.values())})
+
+    out = part.join(F.broadcast(moments), "component").groupBy("component").applyInPandas(split, f"id {kind}, community {kind}")
     return out if all_vertices is None else out.unionByName(isolated(all_vertices, plain).select("id", F.col("id").alias("community")))
 
 

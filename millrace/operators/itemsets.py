@@ -41,6 +41,8 @@ def levels(rows: DataFrame, support: int, most: int):
         left = held.select(*part, "basket", "items", F.slice("items", 1, size - 2).alias("head"), F.col("items")[size - 2].alias("end"))
         right = left.select("basket", "head", F.col("end").alias("last"))
         wide = left.join(right, ["basket", "head"]).where("end < last").select(*part, "basket", F.concat("items", F.array("last")).alias("items"))
+        if size < most:
+            wide = written(wide)  # read for the counts, and for the next level
         counts = written(wide.groupBy(*part, "items").agg(F.count("*").alias("n")).where(F.col("n") >= support))
         yield counts
         if size == most or not counts.limit(1).count():

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.scratch import fits, written
 
-HEAVY = 5_000
+HEAVY = 1_000
 
 
 def shared_keys(rows: DataFrame, entity: str, key: str, least: int | Callable[[Column], Column] = 1, value: str | None = None, heavy: int = HEAVY) -> DataFrame:

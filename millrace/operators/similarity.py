@@ -65,9 +65,9 @@ def jaccard_pairs(rows: DataFrame, entity: str, key: str, least: float) -> DataF
 
 
 def overlap_pairs(rows: DataFrame, entity: str, key: str, least: float) -> DataFrame:
-    """(a, b, sim): shared keys as a share of the larger set."""
+    """(a, b, sim): shared keys as a share of the larger set, so each of a pair has `least` of its own keys in common with the other."""
     sizes = set_sizes(rows, entity)
-    out = shared_keys(rows, entity, key).join(sizes.select(F.col("e").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("e").alias("b"), F.col("size").alias("nb")), "b")
+    out = shared_keys(rows, entity, key, lambda size: F.greatest(F.lit(1), F.ceil(F.lit(least - 1e-9) * size))).join(sizes.select(F.col("e").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("e").alias("b"), F.col("size").alias("nb")), "b")
     return out.withColumn("sim", F.col("n") / F.greatest("na", "nb")).where(F.col("sim") >= least).select("a", "b", "sim")
 
 

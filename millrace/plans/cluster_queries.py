@@ -84,6 +84,29 @@ def op_bfr_assign_cs(spark, d):
     return bfr.nearest(V.points(spark, d).where("id % 3 <> 0").select("id", "x"), cs, LIMIT).select("id", F.coalesce("near", F.lit(-1)).alias("near"))
 
 
+@query(
+    f"""{V.with_(V.POINTS, _SPLIT.replace('id % 3 = 0', 'id % 3 = 0 AND id % 7 <> 0'), _CS_DS)}, into_ds AS (
+  SELECT cs, CASE WHEN distance <= 16 THEN label ELSE -1 END AS label FROM gaps QUALIFY row_number() OVER (PARTITION BY cs ORDER BY distance, label) = 1)
+SELECT DISTINCT id, CAST(CASE WHEN id % 3 <> 0 THEN p.label WHEN id % 7 = 0 THEN -1 ELSE d.label END AS BIGINT) AS label FROM points p JOIN into_ds d ON d.cs = p.label + 100"""
+)
+def op_bfr_finalize(spark, d):
+    """Labels of all points for known sets: two of three points in discard sets, of the others every seventh retained and the rest in compression sets."""
+    points = V.points(spark, d)
+    rest = points.where("id % 3 = 0 AND id % 7 <> 0").withColumn("label", (F.col("label") + 100).cast("bigint"))
+    state = bfr.Rounds(spark, K, DIMS)
+    for sets, members, some in ((state.ds, state.ds_members, points.where("id % 3 <> 0").withColumn("label", F.col("label").cast("bigint"))), (state.cs, state.cs_members, rest)):
+        sets += state._rows(bfr.summary(some, DIMS))
+        members.append(some.select("id", "label"))
+    state.rs = points.where("id % 3 = 0 AND id % 7 = 0").select("id", "x")
+    return state.labels()
+
+
+@query(f"{V.with_(V.POINTS, SUMMARY, DISTANCES)} SELECT id, label AS near, round(distance, 6) AS distance FROM nearest")
+def op_min_argmin_both(spark, d):
+    """The least distance and the cluster that has it."""
+    return bfr.nearest(V.points(spark, d).select("id", "x"), _summary(spark, d), float("inf")).select("id", "near", F.round("distance", 6).alias("distance"))
+
+
 @query(f"{V.with_(V.POINTS, SUMMARY)} SELECT label, i - 1 AS dim, n, round(s, 6) AS total FROM summary")
 def op_bfr_united(spark, d):
     ds, cs = _sets(spark, d)

@@ -127,7 +127,8 @@ deg AS (SELECT community, count(*) AS k FROM near JOIN parts ON id = src GROUP B
 SELECT round((SELECT sum(k) FROM inside) / m - (SELECT sum(k * k) FROM deg) / (4.0 * m * m), 6) AS q FROM m"""
 )
 def op_modularity(spark, d):
-    whole, reduced = edges(spark, d), edges(spark, d, TIGHT)
+    whole = edges(spark, d)
+    reduced = whole.where(F.col("n") >= TIGHT)
     communities = graph.components(reduced, graph.vertices(whole)).withColumnRenamed("component", "community")
     return graph.modularity(communities, whole, reduced).select(F.round("q", 6).alias("q"))
 

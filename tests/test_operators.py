@@ -182,6 +182,17 @@ def test_girvan_newman_equals_brute_force(spark, seed):
     assert textbook == pytest.approx(inner - sum((sum(degree[v] for v in want if want[v] == c) / (2 * len(edges))) ** 2 for c in set(want.values())))
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_girvan_newman_puts_components_in_order(spark, seed):
+    """Graphs of several components, one twice, so that removals tie across them."""
+    edges = random_edges(seed, 36, 34)
+    twin = random_edges(9, 8, 10)
+    edges = sorted({*edges, *((f"x{a}", f"x{b}") for a, b in twin), *((f"y{a}", f"y{b}") for a, b in twin)})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert {r.id: r.community for r in graph.girvan_newman(df).collect()} == brute_split(edges)[1]
+    assert graph.components(df).select("component").distinct().count() >= 3
+
+
 def test_girvan_newman_refuses_and_takes_nothing(spark):
     with pytest.raises(ValueError):
         graph.girvan_newman(toy(spark), most=3)
