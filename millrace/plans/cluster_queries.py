@@ -74,14 +74,21 @@ def op_bfr_merge_cs_ds(spark, d):
     return bfr.nearest(centres, ds, bfr.limit_of(DIMS)).select("label", F.coalesce("near", F.lit(-1)).alias("into"))
 
 
+#: Labels whose points make discard sets; those of the others make compression sets.
+HELD = 4
+
+
 @query(
-    f"""{V.with_(V.POINTS, _SPLIT)}, cdist AS (
-  SELECT p.id, s.label, sqrt(sum(power((p.v - s.s / s.n) / (sqrt(greatest(s.q / s.n - power(s.s / s.n, 2), 0)) + 0.001), 2))) AS distance FROM points p JOIN cs s USING (i) WHERE p.id % 3 <> 0 GROUP BY 1, 2)
-SELECT id, CASE WHEN distance <= {LIMIT} THEN label ELSE -1 END AS near FROM cdist QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, label) = 1"""
+    f"""{V.with_(V.POINTS, SUMMARY, DISTANCES)},
+taken AS (SELECT DISTINCT id FROM distances WHERE label < {HELD} AND distance <= {LIMIT})
+SELECT id, CASE WHEN distance <= {LIMIT} THEN label ELSE -1 END AS near FROM distances WHERE label >= {HELD} AND id NOT IN (SELECT id FROM taken)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, label) = 1"""
 )
 def op_bfr_assign_cs(spark, d):
-    _, cs = _sets(spark, d)
-    return bfr.nearest(V.points(spark, d).where("id % 3 <> 0").select("id", "x"), cs, LIMIT).select("id", F.coalesce("near", F.lit(-1)).alias("near"))
+    """The points that no discard set takes, with the compression set that does."""
+    sets = _summary(spark, d)
+    rest = bfr.nearest(V.points(spark, d).select("id", "x"), sets.where(F.col("label") < HELD), LIMIT).where("near IS NULL").select("id", "x")
+    return bfr.nearest(rest, sets.where(F.col("label") >= HELD), LIMIT).select("id", F.coalesce("near", F.lit(-1)).alias("near"))
 
 
 @query(

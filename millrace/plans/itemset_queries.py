@@ -10,10 +10,23 @@ from millrace.plans import views as V
 from millrace.plans.registry import query
 
 SUPPORT = 30
-SETS = f"""singles AS (SELECT item, count(*) AS n FROM baskets GROUP BY 1 HAVING count(*) >= {SUPPORT}),
-pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
-triples AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS n FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item JOIN baskets z ON y.basket = z.basket AND y.item < z.item GROUP BY 1, 2, 3 HAVING count(*) >= {SUPPORT}),
-sets AS (SELECT item AS items, 1 AS size, n FROM singles UNION ALL SELECT a || ',' || b, 2, n FROM pairs UNION ALL SELECT a || ',' || b || ',' || c, 3, n FROM triples)"""
+#: A support at which sets of three and more items are found also where items are many.
+LOW_SUPPORT = 4
+MOST = 6
+
+
+def _level(table: str, size: int, least: int, part: str = "") -> str:
+    """SQL of the sets of one size, of each part if there are any."""
+    items = [f"x{i}.item" for i in range(size)]
+    joins = "".join(f" JOIN {table} x{i} ON x{i - 1}.basket = x{i}.basket AND x{i - 1}.item < x{i}.item" for i in range(1, size))
+    return f"SELECT {" || ',' || ".join(items)} AS items, {size} AS size, count(*) AS n FROM {table} x0{joins} GROUP BY {part}{', '.join(items)} HAVING count(*) >= {least}"
+
+
+def _sets(support: int) -> str:
+    return f"sets AS ({' UNION ALL '.join(_level('baskets', n, support) for n in range(1, MOST + 1))})"
+
+
+SETS = _sets(SUPPORT)
 
 
 def shown(found: DataFrame) -> DataFrame:
@@ -42,82 +55,42 @@ def op_basket_preparation(spark, d):
 
 @query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT items, size, n FROM sets")
 def op_frequent_itemsets(spark, d):
-    return shown(itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, 3))
+    return shown(itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, MOST))
 
 
 @query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT items, size, n FROM sets")
 def op_frequent_itemsets_fp(spark, d):
-    return shown(itemsets.frequent_itemsets_fp(V.order_baskets(spark, d), SUPPORT, 3))
+    return shown(itemsets.frequent_itemsets_fp(V.order_baskets(spark, d), SUPPORT, MOST))
 
 
 @query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT items, size, n FROM sets ORDER BY size, items")
 def op_itemset_order(spark, d):
-    found = itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, 3)
+    found = itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, MOST)
     return shown(found.orderBy(F.size("items"), "items"))
 
 
+@query(f"{V.with_(V.ORDER_BASKETS, _sets(LOW_SUPPORT))} SELECT items, size, n FROM sets")
+def op_frequent_itemsets_low(spark, d):
+    return shown(itemsets.frequent_itemsets(V.order_baskets(spark, d), LOW_SUPPORT, MOST))
+
+
 PARTS = 4
 _PARTED = f"parted AS (SELECT basket, item, CAST(('0x' || substr(md5(CAST(basket AS VARCHAR)), 1, 6)) AS BIGINT) % {PARTS} AS part FROM baskets)"
-_LOCAL = -(-SUPPORT // PARTS)
+_CANDIDATES = f"candidates AS ({' UNION ALL '.join(_level('parted', n, -(-SUPPORT // PARTS), 'x0.part, ') for n in range(1, MOST + 1))})"
 
 
-@query(
-    f"""{V.with_(V.ORDER_BASKETS, _PARTED)} SELECT DISTINCT items FROM (
-  SELECT part, item AS items FROM parted GROUP BY 1, 2 HAVING count(*) >= {_LOCAL}
-  UNION ALL SELECT x.part, x.item || ',' || y.item FROM parted x JOIN parted y ON x.basket = y.basket AND x.item < y.item GROUP BY x.part, x.item, y.item HAVING count(*) >= {_LOCAL})"""
-)
+@query(f"{V.with_(V.ORDER_BASKETS, _PARTED, _CANDIDATES)} SELECT DISTINCT items FROM candidates")
 def op_son_pass1(spark, d):
-    return itemsets.local_candidates(V.order_baskets(spark, d), SUPPORT, PARTS, 2).select(F.array_join("items", ",").alias("items"))
-
-
-@query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT items, size, n FROM sets WHERE size <= 2")
-def op_son_pass2(spark, d):
-    rows = V.order_baskets(spark, d)
-    return shown(itemsets.counted_candidates(rows, itemsets.local_candidates(rows, SUPPORT, PARTS, 2), SUPPORT))
-
-
-MOST = 6
-
-
-def _level(table: str, size: int, least: int, part: str = "") -> str:
-    """SQL of the sets of one size, of each part if there are any."""
-    items = [f"x{i}.item" for i in range(size)]
-    joins = "".join(f" JOIN {table} x{i} ON x{i - 1}.basket = x{i}.basket AND x{i - 1}.item < x{i}.item" for i in range(1, size))
-    return f"SELECT {" || ',' || ".join(items)} AS items, {size} AS size, count(*) AS n FROM {table} x0{joins} GROUP BY {part}{', '.join(items)} HAVING count(*) >= {least}"
-
-
-SETS_SIX = f"sets AS ({' UNION ALL '.join(_level('baskets', n, SUPPORT) for n in range(1, MOST + 1))})"
-LOCAL_SIX = f"candidates AS ({' UNION ALL '.join(_level('parted', n, _LOCAL, 'x0.part, ') for n in range(1, MOST + 1))})"
-
-
-@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets")
-def op_frequent_itemsets_six(spark, d):
-    return shown(itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, MOST))
-
-
-@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets")
-def op_frequent_itemsets_fp_six(spark, d):
-    return shown(itemsets.frequent_itemsets_fp(V.order_baskets(spark, d), SUPPORT, MOST))
-
-
-@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets ORDER BY size, items")
-def op_itemset_order_six(spark, d):
-    found = itemsets.frequent_itemsets(V.order_baskets(spark, d), SUPPORT, MOST)
-    return shown(found.orderBy(F.size("items"), "items"))
-
-
-@query(f"{V.with_(V.ORDER_BASKETS, _PARTED, LOCAL_SIX)} SELECT DISTINCT items FROM candidates")
-def op_son_pass1_six(spark, d):
     return itemsets.local_candidates(V.order_baskets(spark, d), SUPPORT, PARTS, MOST).select(F.array_join("items", ",").alias("items"))
 
 
-@query(f"{V.with_(V.ORDER_BASKETS, SETS_SIX)} SELECT items, size, n FROM sets")
-def op_son_pass2_six(spark, d):
+@query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT items, size, n FROM sets")
+def op_son_pass2(spark, d):
     rows = V.order_baskets(spark, d)
     return shown(itemsets.counted_candidates(rows, itemsets.local_candidates(rows, SUPPORT, PARTS, MOST), SUPPORT))
 
 
-@query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT basket, item FROM baskets WHERE item IN (SELECT item FROM singles)")
+@query(f"{V.with_(V.ORDER_BASKETS, SETS)} SELECT basket, item FROM baskets WHERE item IN (SELECT items FROM sets WHERE size = 1)")
 def op_semi_membership(spark, d):
     rows = V.order_baskets(spark, d)
     frequent = rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)

@@ -20,14 +20,13 @@ def grouped(rows):
 def test_pairs_of_every_business(spark):
     groups = grouped((r.business_id, r.user_id) for r in V.visits(spark, SF).collect())
     want = sorted((k, a, b) for k, v in groups.items() for a, b in itertools.combinations(sorted(v), 2))
-    assert sorted(tuple(r) for r in catalogue.QUERIES["op_self_join_pairs_all"](spark, SF).select("business_id", "a", "b").collect()) == want
-    assert len(want) > catalogue.QUERIES["op_self_join_pairs"](spark, SF).count()
+    assert sorted(tuple(r) for r in catalogue.QUERIES["op_self_join_pairs"](spark, SF).select("business_id", "a", "b").collect()) == want
 
 
 def test_triples_of_every_basket(spark):
     groups = grouped((r.basket, r.item) for r in V.order_baskets(spark, SF).collect())
     want = sorted((k, ",".join(s)) for k, v in groups.items() for s in itertools.combinations(sorted(v), 3))
-    assert sorted((r.basket, r["items"]) for r in catalogue.QUERIES["op_combinations_all"](spark, SF).collect()) == want
+    assert sorted((r.basket, r["items"]) for r in catalogue.QUERIES["op_combinations"](spark, SF).collect()) == want
     assert max(map(len, groups.values())) > 4
 
 
@@ -52,5 +51,5 @@ def test_two_passes_find_sets_beyond_pairs(spark):
     groups = grouped((r.basket, r.item) for r in V.order_baskets(spark, SF).collect())
     counts = Counter(s for v in groups.values() for n in range(1, 7) for s in itertools.combinations(sorted(v), n))
     want = {",".join(s): n for s, n in counts.items() if n >= itemset_queries.SUPPORT}
-    assert {r["items"]: r.n for r in catalogue.QUERIES["op_son_pass2_six"](spark, SF).collect()} == want
-    assert len(want) > catalogue.QUERIES["op_son_pass2"](spark, SF).count()
+    assert {r["items"]: r.n for r in catalogue.QUERIES["op_son_pass2"](spark, SF).collect()} == want
+    assert any(k.count(",") > 1 for k in want)
