@@ -14,6 +14,8 @@ from millrace.llm.common import arrow_filter, arrow_map
 BINS, CENTROIDS = 1 << 13, 4
 #: Expected number of texts per language that the fit takes.
 SAMPLE = 400
+#: Of these texts, so many of each language are cut into pieces, which show how far clean short texts may be.
+PIECED = 100
 MOST_LANGUAGES = 1000
 #: A text is rejected if its best cosine is below this part of the least one of the sample's texts, and pieces of them, of its length.
 SLACK = 0.5
@@ -102,13 +104,17 @@ def fit(rows: list[tuple[str, str]]) -> dict:
     # The texts themselves and pieces of 1, 2, 4, ... words show how low the cosine of a clean text of each length may be.
     least = np.full(32, np.inf)
 
+    def cut(words: list[str]):
+        for e in range(9):
+            for s in range(0, max(1, len(words) - 2**e + 1), max(1, len(words) // 6)):
+                yield grams(" ".join(words[s : s + 2**e]))
+
     def pieces():
         yield from bins
-        for text, _ in sorted(rows)[:: max(1, len(rows) // 400)]:
-            words = text.split()
-            for e in range(9):
-                for s in range(0, max(1, len(words) - 2**e + 1), max(1, len(words) // 6)):
-                    yield grams(" ".join(words[s : s + 2**e]))
+        for _, own in itertools.groupby(sorted((lang, text) for text, lang in rows), key=lambda r: r[0]):
+            own = list(own)
+            for at in np.linspace(0, len(own) - 1, min(PIECED, len(own))).astype(int).tolist():
+                yield from cut(own[at][1].split())
 
     for part in itertools.batched(filter(len, pieces()), 256):
         cos = (vectors(part, idf) @ model["centroids"].T).max(1)
