@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.operators.pairs import shared_keys
 from millrace.sources.scratch import written
 
-#: Edges up to this number are broadcast as adjacency lists for the per-source search (some 100 MB); larger graphs go level by level in joins.
+#: Edges up to this number are broadcast as arrays for the per-source search (some 30 MB for numbers as ids); larger graphs go level by level in joins.
 BROADCAST_EDGES = 500_000
 #: Girvan-Newman takes out one edge after the other, and the driver puts the components' removals in order: graphs of more edges than this are refused.
 MOST_SPLIT_EDGES = 200_000
@@ -120,26 +121,60 @@ def _adjacency(pairs: list[tuple]) -> dict:
     return near
 
 
+class _Arrays:
+    """An undirected graph as arrays: neighbours (and the numbers of the edges to them) of all vertices in a row, and where each vertex's begin."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.ids, code = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        self.src, self.dst = code[: len(src)].astype(np.int32), code[len(src) :].astype(np.int32)
+        ends = np.concatenate([self.src, self.dst])
+        order = np.argsort(ends, kind="stable")
+        self.near = np.concatenate([self.dst, self.src])[order]
+        self.edge = (order % len(src)).astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(self.ids)))])
+
+    def add_credits(self, source: int, total: np.ndarray) -> None:
+        """Brandes, level by level: adds to each edge what the shortest paths from one source give it."""
+        level, paths, credit = np.full(len(self.ids), -1, np.int32), np.zeros(len(self.ids)), np.ones(len(self.ids))
+        level[source], paths[source] = 0, 1.0
+        front, steps = np.array([source]), []
+        while len(front):
+            size = self.begin[front + 1] - self.begin[front]
+            at = np.repeat(self.begin[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            above, below = np.repeat(front, size), self.near[at]
+            level[below[level[below] < 0]] = len(steps) + 1
+            down = level[below] == len(steps) + 1
+            above, below, edge = above[down], below[down], self.edge[at[down]]
+            np.add.at(paths, below, paths[above])
+            steps.append((above, below, edge))
+            front = np.unique(below)
+        for above, below, edge in reversed(steps):
+            share = credit[below] * paths[above] / paths[below]
+            np.add.at(credit, above, share)
+            total[edge] += share
+
+
 def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None, halved: bool = True, most: int = BROADCAST_EDGES) -> DataFrame:
     """(src, dst, betweenness): the number of shortest paths through each edge, each pair of ends counted once (twice if not halved), shared out where there are several.
 
-    A graph of up to `most` edges is broadcast and searched source by source; a larger one goes level by level. Edges are taken as undirected and distinct.
+    A graph of up to `most` edges is broadcast as arrays and searched source by source; a larger one goes level by level. Edges are taken as undirected and distinct.
     """
     plain = written(simple_edges(edges))
     scale = 0.5 if halved else 1.0
     starts = vertices(plain) if sources is None else sources.select("id").distinct()
     if plain.count() <= most:
-        shared = plain.sparkSession.sparkContext.broadcast(_adjacency([tuple(r) for r in plain.collect()]))
+        held = plain.toArrow()
+        shared = plain.sparkSession.sparkContext.broadcast(_Arrays(*(held[c].to_numpy() for c in ("src", "dst"))))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            near, total = shared.value, defaultdict(float)
+            arrays = shared.value
+            known, total = pd.Index(arrays.ids), np.zeros(len(arrays.src))
             for batch in batches:
-                for source in batch["id"].tolist():
-                    if source in near:
-                        for edge, x in _credits(near, source).items():
-                            total[edge] += x
-            if total:
-                yield pd.DataFrame({"src": [a for a, _ in total], "dst": [b for _, b in total], "betweenness": list(total.values())})
+                for source in known.get_indexer(batch["id"]):
+                    if source >= 0:
+                        arrays.add_credits(source, total)
+            if len(used := np.flatnonzero(total)):
+                yield pd.DataFrame({"src": arrays.ids[arrays.src[used]], "dst": arrays.ids[arrays.dst[used]], "betweenness": total[used]})
 
         kind = dict(plain.dtypes)["src"]
         parts = starts.repartition(starts.sparkSession.sparkContext.defaultParallelism, "id").mapInPandas(search, f"src {kind}, dst {kind}, betweenness double")

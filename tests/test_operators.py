@@ -152,6 +152,18 @@ def brute_betweenness(edges):
     return out
 
 
+@pytest.mark.parametrize(("seed", "most"), [(1, 1000), (2, 1000), (3, 0)])
+def test_betweenness_equals_brute_force(spark, seed, most):
+    """Graphs of several components, with names and with numbers; sources that are in no edge add nothing."""
+    edges = random_edges(seed)
+    want = {e: pytest.approx(v, abs=1e-9) for e, v in brute_betweenness(edges).items()}
+    assert {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(spark.createDataFrame(edges, "src string, dst string"), most=most).collect()} == want
+    numbers = [(int(a[1:]), int(b[1:])) for a, b in edges]
+    sources = spark.createDataFrame([(v,) for v in [*range(24), 99]], "id bigint")
+    got = graph.edge_betweenness(spark.createDataFrame(numbers, "src bigint, dst bigint"), sources, most=most).collect()
+    assert {(f"v{r.src:02d}", f"v{r.dst:02d}"): r.betweenness for r in got} == want
+
+
 def brute_split(edges):
     vertices, m = {v for e in edges for v in e}, len(edges)
     left, best = list(edges), None
