@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from millrace.operators import pairs
+from millrace.operators import pairs, similarity
 from millrace.sources.scratch import written
 
 
@@ -22,3 +22,11 @@ def test_pairs_are_formed_after_the_shuffle_in_tasks_of_bounded_size(spark, monk
     found = pairs.shared_keys(rows, "e", "k", 3, value)
     assert f", {-(-formed // 50)}), REPARTITION_BY_NUM" in re.sub(r"#\d+", "", plan_of(found))
     assert {(r.a, r.b): r.n for r in found.collect()} == {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 3}
+
+
+def test_given_pairs_stay_one_row_each(spark):
+    rows = spark.createDataFrame([(e, k) for e in range(3) for k in range(e, 50)], "e int, k int")
+    asked = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a int, b int")
+    found = similarity.verified(asked, written(rows), "e", "k", 0.97)
+    assert "array_intersect" in plan_of(found)
+    assert {(r.a, r.b): r.sim for r in found.collect()} == {(0, 1): 49 / 50, (1, 2): 48 / 49}
