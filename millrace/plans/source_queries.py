@@ -45,7 +45,7 @@ def op_csv_plain(spark, d):
     from millrace.operators.itemsets import prepared
 
     path = new_path(spark)
-    sinks.csv(prepared(V.reviews(spark, d), V.businesses(spark, d), "PROMO").coalesce(1), path)
+    sinks.csv_one_header(prepared(V.reviews(spark, d), V.businesses(spark, d), "PROMO"), path)
     return readers.csv_plain(spark, path)
 
 

@@ -17,6 +17,13 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def csv_one_header(df: DataFrame, path: str) -> None:
+    """With one header in all, as a file of its own beside the rows, which stay in as many files as there are tasks."""
+    df.write.mode("overwrite").csv(path, header=False)
+    names = df.sparkSession.createDataFrame([tuple(df.columns)], ", ".join(f"`{c}` string" for c in df.columns))
+    names.coalesce(1).write.mode("append").csv(path, header=False)
+
+
 def text_lines(lines: DataFrame, path: str) -> None:
     """The column `line`, in the order of the columns after it, as text files whose names sort alike."""
     order = [c for c in lines.columns if c != "line"]

@@ -4,9 +4,14 @@ import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import pairs, similarity
-from millrace.sources.scratch import written
+from millrace.plans import catalogue
+from millrace.sources import readers
+from millrace.sources.scratch import new_path, written
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -30,3 +35,14 @@ def test_given_pairs_stay_one_row_each(spark):
     found = similarity.verified(asked, written(rows), "e", "k", 0.97)
     assert "array_intersect" in plan_of(found)
     assert {(r.a, r.b): r.sim for r in found.collect()} == {(0, 1): 49 / 50, (1, 2): 48 / 49}
+
+
+def test_plain_csv_is_written_by_many_tasks_with_one_header(spark):
+    from millrace.sources import sinks
+
+    path = new_path(spark)
+    sinks.csv_one_header(spark.range(40).repartition(4).select(F.col("id").alias("user_id"), F.col("id").alias("business_id")), path)
+    assert len([p for p in readers.chunk_paths(spark, path) if p.endswith(".csv")]) == 5
+    got = [(r.user_id, r.business_id) for r in readers.csv_plain(spark, path).collect()]
+    assert got.count(("user_id", "business_id")) == 1 and sorted(got) == sorted([("user_id", "business_id")] + [(str(i), str(i)) for i in range(40)])
+    assert "Coalesce" not in plan_of(catalogue.QUERIES["op_csv_plain"](spark, SF))
