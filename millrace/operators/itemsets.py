@@ -7,9 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.pairs import shared_keys
 from millrace.sources.scratch import written
 
 
+#: FP-growth: baskets that a task sorts into trees, baskets for each tree (a tree is one object of its task), and the most trees.
+BASKETS_A_TASK, BASKETS_A_TREE, MOST_TREES = 25_000, 500, 2_000
+
+
 def basket_rows(df: DataFrame, basket: str, item: str, more_than: int | None = None) -> DataFrame:
     """Distinct (basket, item); with `more_than`, of baskets that have more rows than that before repeated ones go. Nulls are left out."""
     rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket IS NOT NULL AND item IS NOT NULL")
@@ -73,12 +78,22 @@ def frequent_itemsets(rows: DataFrame, support: int, most: int = 6) -> DataFrame
 
 
 def frequent_itemsets_fp(rows: DataFrame, support: int, most: int = 6) -> DataFrame:
-    """The same by FP-growth, which holds each basket as one array: for baskets of a bounded size."""
+    """The same by FP-growth, which holds each basket as one array: for baskets of a bounded size.
+
+    Single items are counted, and trees are grown of the items of frequent pairs only: no other item is in a set of two or more.
+    """
     from pyspark.ml.fpm import FPGrowth
 
-    held = written(baskets(rows))
-    n = held.count()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "items array<string>, n bigint")
-    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n)).fit(held).freqItemsets
-    return found.where(F.size("items") <= most).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    rows = written(rows.select("basket", "item"))
+    singles = written(rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    single = singles.select(F.array("item").alias("items"), "n")
+    if most < 2:
+        return single
+    known = written(rows.join(singles.select("item"), "item", "left_semi"))
+    paired = written(shared_keys(known, "item", "basket", support).select(F.explode(F.array("a", "b")).alias("item")).distinct())
+    held = written(baskets(known.join(paired, "item", "left_semi")).where(F.size("items") > 1))
+    if not (n := held.count()):
+        return single
+    dealt = held.repartition(-(-n // BASKETS_A_TASK))
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n), numPartitions=min(MOST_TREES, -(-n // BASKETS_A_TREE))).fit(dealt).freqItemsets
+    return single.unionByName(found.where(F.size("items").between(2, most)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))

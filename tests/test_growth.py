@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import pairs, similarity
+from millrace.operators import itemsets, pairs, similarity
 from millrace.plans import catalogue
 from millrace.sources import readers
 from millrace.sources.scratch import new_path, written
@@ -46,3 +46,16 @@ def test_plain_csv_is_written_by_many_tasks_with_one_header(spark):
     got = [(r.user_id, r.business_id) for r in readers.csv_plain(spark, path).collect()]
     assert got.count(("user_id", "business_id")) == 1 and sorted(got) == sorted([("user_id", "business_id")] + [(str(i), str(i)) for i in range(40)])
     assert "Coalesce" not in plan_of(catalogue.QUERIES["op_csv_plain"](spark, SF))
+
+
+def test_trees_of_fp_growth_hold_items_of_frequent_pairs_only(spark, monkeypatch):
+    from pyspark.ml import fpm
+
+    grown = []
+    monkeypatch.setattr(fpm.FPGrowth, "fit", lambda self, df, fit=fpm.FPGrowth.fit: grown.append((df, self.getNumPartitions())) or fit(self, df))
+    monkeypatch.setattr(itemsets, "BASKETS_A_TREE", 3, raising=False)
+    rows = spark.createDataFrame([(b, f"i{x}") for b in range(30) for x in {b % 7, 7 + b % 2, 9 + b % 2, 11 + b % 5}], "basket int, item string")
+    for support in (4, 5, 20):
+        want = sorted((r["items"], r.n) for r in itemsets.frequent_itemsets(rows, support).collect())
+        assert sorted((r["items"], r.n) for r in itemsets.frequent_itemsets_fp(rows, support).collect()) == want
+    assert len(grown) == 2 and {x for r in grown[1][0].collect() for x in r["items"]} == {"i7", "i8", "i9", "i10"} and grown[1][1] == 10
